@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space; what lies between counts as a word. Bytes of it never occur inside a UTF-8 character.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,3 +56,16 @@ def batched(rows: Iterable, size: int):
             out = []
     if out:
         yield out
+
+
+def row_key() -> Column:
+    """A 64-bit key of what the operators read of a document; repeated rows share it."""
+    return F.xxhash64("doc_id", "text", "source")
+
+
+def keep_rows(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, row_key) is among those of ``good``, with the columns and repeats of ``docs``."""
+    cols = docs.columns
+    keyed = docs.withColumns({"_kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_kept_key": row_key()})
+    good = good.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_kept_id"), F.col("row_key").alias("_kept_key"))
+    return keyed.join(good, ["_kept_id", "_kept_key"], "left_semi").select(*cols)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, sharding
+from . import licenses, quality, sharding
 from .common import table
 
 
@@ -11,6 +11,11 @@ def op1_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_quality_rules(spark, sf_dir):
+    """Base counts and verdict of every document."""
+    return quality.verdicts(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("row_key")
+
+
 def op9_extendible_sharding(spark, sf_dir):
     """The shard of every document."""
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), sharding.LIMIT_BYTES)
@@ -18,6 +23,7 @@ def op9_extendible_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op4_quality_rules": op4_quality_rules,
     "op9_extendible_sharding": op9_extendible_sharding,
 }
-ORACLE_SQL = {"op1_license_scan": licenses.SQL, "op9_extendible_sharding": sharding.SQL}
+ORACLE_SQL = {"op1_license_scan": licenses.SQL, "op4_quality_rules": quality.SQL, "op9_extendible_sharding": sharding.SQL}
