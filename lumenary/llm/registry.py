@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, sharding
+from . import licenses, neardup, quality, sharding
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op4_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("row_key")
 
 
+def op7_minhash_neardup(spark, sf_dir):
+    """The component of every document, over 2-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text", "source"), size=2).drop("row_key")
+
+
 def op9_extendible_sharding(spark, sf_dir):
     """The shard of every document."""
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), sharding.LIMIT_BYTES)
@@ -24,6 +29,7 @@ def op9_extendible_sharding(spark, sf_dir):
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op9_extendible_sharding": op9_extendible_sharding,
 }
 ORACLE_SQL = {"op1_license_scan": licenses.SQL, "op4_quality_rules": quality.SQL, "op9_extendible_sharding": sharding.SQL}
