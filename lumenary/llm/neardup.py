@@ -15,7 +15,7 @@ that, pair by pair across components.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +47,18 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < MEMO:
+            self[word] = h
         return h
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """A process's remembered hashes."""
+    return WordHashes()
+
+
 def shingles(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``size`` words; of fewer words, one for the whole sequence."""
     words = text.lower().split()
@@ -92,7 +98,7 @@ def tensored(halves: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int, bands: int) -> Iterator[pa.RecordBatch]:
-    hashes, mult = WordHashes(), multipliers(2 * bands * rows)
+    hashes, mult = word_hashes(), multipliers(2 * bands * rows)
     for b in batches:
         n, one, two, sig = [], [], [], []
         for t in b.column("text").cast(pa.binary()):
@@ -133,7 +139,7 @@ def _keys(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBa
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int, bits) -> Iterator[pa.RecordBatch]:
     """The sets of the documents whose slot is in the filter."""
-    hashes, mask = WordHashes(), np.frombuffer(bits.value, np.uint8)
+    hashes, mask = word_hashes(), np.frombuffer(bits.value, np.uint8)
     for b in batches:
         at = np.array(b.column("slot").to_pylist(), np.int64)
         hit = np.flatnonzero(mask[at >> 3] >> (at & 7) & 1)

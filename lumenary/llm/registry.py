@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, neardup, quality, sharding
+from . import licenses, neardup, ordering, packing, quality, sharding
 from .common import table
 
 
@@ -16,11 +16,21 @@ def op4_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("row_key")
 
 
+def op6_best_fit_packing(spark, sf_dir):
+    """Where every piece of every document is, in sequences of 2048 tokens."""
+    return packing.packed_pieces(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_minhash_neardup(spark, sf_dir):
     """The component of every document, over 2-word shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text", "source"), size=2).drop("row_key")
 
 
+def op8_token_shards(spark, sf_dir):
+    """Every token sequence in training order, after writing the shards."""
+    return ordering.materialise(table(spark, sf_dir, "documents", "doc_id", "text"), ordering.output_folder(spark))
+
+
 def op9_extendible_sharding(spark, sf_dir):
     """The shard of every document."""
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), sharding.LIMIT_BYTES)
@@ -29,7 +39,9 @@ def op9_extendible_sharding(spark, sf_dir):
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_minhash_neardup": op7_minhash_neardup,
+    "op8_token_shards": op8_token_shards,
     "op9_extendible_sharding": op9_extendible_sharding,
 }
 ORACLE_SQL = {"op1_license_scan": licenses.SQL, "op4_quality_rules": quality.SQL, "op9_extendible_sharding": sharding.SQL}
