@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, neardup, ordering, packing, quality, sharding
+from . import decontaminate, licenses, neardup, ordering, packing, quality, sharding
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op4_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("row_key")
 
 
+def op5_benchmark_leaks(spark, sf_dir):
+    """Every benchmark item that a document contains."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op6_best_fit_packing(spark, sf_dir):
     """Where every piece of every document is, in sequences of 2048 tokens."""
     return packing.packed_pieces(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -39,6 +44,7 @@ def op9_extendible_sharding(spark, sf_dir):
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_token_shards": op8_token_shards,
