@@ -7,9 +7,9 @@ of one collection differ: 1 - (1 - (1 - J**rows)**bands)**2, which for 3 rows an
 at 0.82. Every candidate is confirmed on the full sets.
 
 Documents with the same set are one class and compare once. Pairs within a key are never all made: within a part of the
-table and then over all of it, each member of a key is compared with one leader. Where that leaves members of one key in
-different components, they are compared with the member that shares most keys, and what is then still apart, and only
-that, pair by pair across components.
+table and then over all of it, each member of a key is compared with one leader, and those unlike it with a second one.
+Where that leaves nodes that may be linked in different components, those outside the largest one are searched for in
+blocks of their group's sets, which makes confirmed links alone.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ M1, M2, M3 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(0x9E3779B97F4A7C15)
 MEMO, CHUNK = 300_000, 8192
 #: Bits of the filter that spares most of the second reading its work; beyond what it tells, joins decide.
 FILTER_BITS = 24
+#: Percent of similarity: ALIKE's distance and that of a link (20) together are at most RELATED's.
+ALIKE, RELATED = 50, 30
+#: Shingles and nodes of a block, on each side.
+BLOCK_WORDS, BLOCK_ROWS = 1 << 19, 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -167,12 +172,58 @@ def _id():
     return F.coalesce(F.col("doc_id"), F.lit(-1)).alias("set_id")
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate edges u, v those whose sets have 100 * intersection >= percent * union."""
+def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, both, size (of the union) of each candidate edge u, v, on the full sets."""
     a = sets.select(F.col("node").alias("u"), F.col("words").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("words").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return edges.join(a, "u").join(b, "v").withColumn("both", both).filter(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent).select("u", "v")
+    pair = edges.join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("a", "b")))
+    return pair.select("u", "v", "both", (F.size("a") + F.size("b") - F.col("both")).alias("size"))
+
+
+def _linked(pdf: pa.Table, percent: int) -> pa.Table:
+    """Links between the queries and the rows of one block that are in different components."""
+    data, asked = pdf.filter(pc.equal(pdf["asks"], False)), pdf.filter(pc.equal(pdf["asks"], True))
+    u, v = [], []
+    if len(data) and len(asked):
+        words = data["words"].combine_chunks()
+        size = np.diff(words.offsets.to_numpy())
+        flat, owner = words.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        node, root = data["node"].to_numpy(), data["root"].to_numpy()
+        for q, r, w in zip(asked["node"].to_pylist(), asked["root"].to_pylist(), asked["words"].combine_chunks(), strict=True):
+            own = w.values.to_numpy()
+            low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(size))
+            hit = (both * 100 >= (size + len(own) - both) * percent) & (root != r)
+            u += [q] * int(hit.sum())
+            v += node[hit].tolist()
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _searched(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between nodes of one group and different components. ``nodes``: node, grp, root.
+
+    In each group, the nodes outside the component with most nodes are queries against all. Both sides are dealt into
+    blocks of bounded shingles, and each block of queries meets each block of the group in a task of its own.
+    """
+    of = nodes.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    groups = of.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    full = stored(nodes.join(groups, "grp").join(sets, "node").select("grp", "node", "root", "words", (F.col("root") != F.col("main")).alias("outside")), "searched")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(F.when(n, F.size("words"))) / BLOCK_WORDS, F.count(F.when(n, 1)) / BLOCK_ROWS))).cast("int")
+    sized = full.groupBy("grp").agg(blocks(F.lit(True)).alias("nb"), blocks(F.col("outside")).alias("nq"))
+    dealt = full.join(sized, "grp")
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = dealt.select("grp", "node", "root", "words", F.lit(False).alias("asks"), mine("nb").alias("b"), every("nq").alias("q"))
+    asks = dealt.filter("outside").select("grp", "node", "root", "words", F.lit(True).alias("asks"), every("nb").alias("b"), mine("nq").alias("q"))
+
+    def linked(block: pa.Table) -> pa.Table:
+        return _linked(block, percent)
+
+    return data.unionByName(asks).groupBy("grp", "b", "q").applyInArrow(linked, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 3, bands: int = 14) -> DataFrame:
@@ -205,23 +256,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     own = wanted.select("node", _id(), F.col("row_key").alias("set_key"))
     sets = stored(found.withColumn("set_id", F.coalesce("set_id", F.lit(-1))).join(own, ["set_id", "set_key"]).groupBy("node").agg(F.first("words").alias("words")), "sets")
 
-    tried = stored(members.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), "tried")
-    links = stored(confirmed(tried, sets, percent), "links")
-    roots = stored(components(links), "roots")
-    apart = _apart(members, roots)
-    if apart.limit(1).count():
-        # Compare with the member that shares most keys, as the text that others were made from does.
-        each = stored(apart, "apart")
-        shared = members.groupBy("node").agg(F.count("*").alias("n"))
-        centre = each.join(shared, "node").groupBy("key").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("v"))
-        more = each.select("key", F.col("node").alias("u")).join(centre, "key").filter("u <> v").select("u", "v").distinct()
-        links = stored(links.unionByName(confirmed(more, sets, percent)), "links")
-        roots = stored(components(links), "roots")
-        each = stored(_apart(members, roots), "apart")
-        a, b = each.select("key", F.col("node").alias("u"), F.col("root").alias("ru")), each.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
-        rest = a.join(b, "key").filter("u < v AND ru <> rv").select("u", "v").distinct().join(tried.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")), ["u", "v"], "left_anti")
-        links = stored(links.unionByName(confirmed(rest, sets, percent)), "links")
-        roots = stored(components(links), "roots")
+    # Who shares a key is put in one group: members that are at all like their key's leader (RELATED) by that link, and
+    # those not well like it (ALIKE) compare with a second leader among themselves. If u is ALIKE a leader and u and v are
+    # linked, v is RELATED to the leader, as Jaccard distance is a metric; so no link leaves a group.
+    first = stored(compared(members.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), sets), "compared")
+    alike = first.filter(F.col("both") * 100 >= F.col("size") * ALIKE).select(F.col("u").alias("node"), F.col("v").alias("leader"))
+    rest = members.filter("node <> leader").select("key", "node", "leader").join(alike, ["node", "leader"], "left_anti").select("key", "node")
+    rest = _led(rest)
+    second = stored(compared(rest.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), sets), "compared")
+    alike = second.filter(F.col("both") * 100 >= F.col("size") * ALIKE).select(F.col("u").alias("node"), F.col("v").alias("leader"))
+    last = _led(rest.filter("node <> leader").join(alike, ["node", "leader"], "left_anti").select("key", "node"))
+    edges = first.unionByName(second)
+    links = stored(edges.filter(F.col("both") * 100 >= F.col("size") * percent).select("u", "v"), "links")
+    related = edges.filter(F.col("both") * 100 >= F.col("size") * RELATED).select("u", "v").unionByName(last.select(F.col("node").alias("u"), F.col("leader").alias("v")))
+    roots, groups = stored(components(links), "roots"), components(related).select("node", F.col("root").alias("grp"))
+    more = stored(_searched(groups.join(roots, "node", "left").select("node", "grp", F.coalesce("root", "node").alias("root")), sets, percent), "links")
+    roots = stored(components(links.unionByName(more)), "roots")
 
     of_class = classes.select("s1", "s2", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_class.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -230,9 +280,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     return out.select("doc_id", "row_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, node, root of the keys whose nodes are in more than one component."""
-    all_of = members.select("key", "node").unionByName(members.select("key", F.col("leader").alias("node"))).distinct()
-    rooted = all_of.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    return rooted.join(split, "key")
+def _led(members: DataFrame) -> DataFrame:
+    """key, node, leader: the least node of each key beside each node."""
+    members = stored(members.distinct(), "members")
+    return members.join(members.groupBy("key").agg(F.min("node").alias("leader")), "key")
