@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, neardup, ordering, packing, quality, sharding, toxicity
+from . import counts, decontaminate, licenses, neardup, ordering, packing, quality, sharding, toxicity
 from .common import table
 
 
@@ -11,6 +11,11 @@ def op1_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_token_counts(spark, sf_dir):
+    """Tokens of every document under a unigram segmentation."""
+    return counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_toxicity(spark, sf_dir):
     """The toxicity of every document."""
     return toxicity.scored(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels")).drop("row_key")
@@ -48,6 +53,7 @@ def op9_extendible_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_benchmark_leaks": op5_benchmark_leaks,
