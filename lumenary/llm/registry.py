@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, decontaminate, licenses, neardup, ordering, packing, quality, sharding, toxicity
+from . import counts, decontaminate, licenses, lm, neardup, ordering, packing, quality, sharding, toxicity
 from .common import table
 
 
@@ -51,6 +51,11 @@ def op9_extendible_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), sharding.LIMIT_BYTES)
 
 
+def op10_lm_scores(spark, sf_dir):
+    """Base and model scores of every document."""
+    return lm.scored(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("row_key")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
@@ -61,5 +66,6 @@ QUERIES = {
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_token_shards": op8_token_shards,
     "op9_extendible_sharding": op9_extendible_sharding,
+    "op10_lm_scores": op10_lm_scores,
 }
 ORACLE_SQL = {"op1_license_scan": licenses.SQL, "op4_quality_rules": quality.SQL, "op9_extendible_sharding": sharding.SQL}

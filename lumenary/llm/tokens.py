@@ -79,3 +79,16 @@ class IdBytes(dict):
 def ids_of(path: str) -> IdBytes:
     """A process's remembered ids; a worker that is used again goes on with them."""
     return IdBytes(path)
+
+
+@lru_cache(maxsize=2)
+def ranked(path: str):
+    """A process's byte-level tokenizer for a file of ranks."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
