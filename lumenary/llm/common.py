@@ -63,9 +63,20 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text", "source")
 
 
-def keep_rows(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, row_key) is among those of ``good``, with the columns and repeats of ``docs``."""
-    cols = docs.columns
-    keyed = docs.withColumns({"_kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_kept_key": row_key()})
-    good = good.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_kept_id"), F.col("row_key").alias("_kept_key"))
-    return keyed.join(good, ["_kept_id", "_kept_key"], "left_semi").select(*cols)
+def _of_rows(docs: DataFrame, which: DataFrame, how: str, once: bool = False) -> DataFrame:
+    own, key = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "key"))  # no column of docs has these names
+    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), key: row_key()})
+    which = which.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias(own), F.col("row_key").alias(key))
+    out = keyed.join(which, [own, key], how)
+    return (out.dropDuplicates([own, key]) if once else out).drop(own, key)
+
+
+def keep_rows(docs: DataFrame, good: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, row_key) is among those of ``good``, with all columns of ``docs``; repeated
+    rows stay repeated, or are one row each if ``once``."""
+    return _of_rows(docs, good, "left_semi", once)
+
+
+def drop_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, row_key) isn't among those of ``bad``."""
+    return _of_rows(docs, bad, "left_anti")
