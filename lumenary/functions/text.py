@@ -87,7 +87,7 @@ class Analyzer:
                 at += len(part) + 1
         elif self.tokenizer in ("word_v3", "word_v4"):
             cuts = [m.start() for m in _PY["segment"].finditer(text)]
-            raw = [(a, b) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True) if _PY["useful"].search(text, a, b)]
+            raw = [(a, b) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=False) if _PY["useful"].search(text, a, b)]
         else:
             kind = "space" if self.tokenizer == "whitespace" else "ideograph" if self.tokenizer == "word_v2" else "word"
             raw = [m.span() for m in _PY[kind].finditer(text)]

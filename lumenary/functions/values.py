@@ -152,6 +152,11 @@ def _floats(value: Column, op: str, x) -> Column:
     return value <= F.lit(near) if below else value > F.lit(near)
 
 
+def _present(c: Column, test: Column) -> Column:
+    """A test that is false where the value is absent, in a form that scans understand."""
+    return c.isNotNull() & test
+
+
 def compare(a: Attribute, op: str, literal) -> Column:
     """Whether the value stands in the relation ``op`` (Eq, Lt, Lte, Gt, Gte) to the literal; false for unlike types."""
     c, t = a.column, a.type
@@ -169,24 +174,24 @@ def compare(a: Attribute, op: str, literal) -> Column:
             return holds(test | ((kind == "instant") & _against(get("timestamp"), op, instant(at)))) if at else holds(test)
         return F.lit(False)
     if isinstance(t, INTEGRAL) and number:
-        return holds(_integers(c, op, literal))
+        return _present(c, _integers(c, op, literal))
     if isinstance(t, FLOATING) and number:
-        return holds(_floats(c.cast("double"), op, literal))
+        return _present(c, _floats(c.cast("double"), op, literal))
     if isinstance(t, T.DecimalType) and number:
-        return holds(_against(c, op, F.lit(Decimal(literal)).cast("decimal(38,10)")))
+        return _present(c, _against(c, op, F.lit(Decimal(literal)).cast("decimal(38,10)")))
     if isinstance(t, T.BooleanType) and isinstance(literal, bool):
-        return holds(_against(c, op, F.lit(literal)))
+        return _present(c, _against(c, op, F.lit(literal)))
     if isinstance(t, T.StringType) and isinstance(literal, str):
-        return holds(_against(c, op, F.lit(literal)))
+        return _present(c, _against(c, op, F.lit(literal)))
     if isinstance(t, INSTANTS) and isinstance(literal, (str, dt.datetime)):
         at = parse_instant(literal) if isinstance(literal, str) else literal
         if at is None:
             return F.lit(False)
         if isinstance(t, T.TimestampNTZType):  # a plain comparison, which reaches the scan
-            return holds(_against(c, op, F.lit(at.isoformat(" ")).cast("timestamp_ntz")))
-        return holds(_against(c if isinstance(t, T.TimestampType) else c.cast("timestamp"), op, instant(at)))
+            return _present(c, _against(c, op, F.lit(at.isoformat(" ")).cast("timestamp_ntz")))
+        return _present(c, _against(c if isinstance(t, T.TimestampType) else c.cast("timestamp"), op, instant(at)))
     if isinstance(t, T.BinaryType) and isinstance(literal, (str, bytes)):
-        return holds(_against(c, op, F.unbase64(F.lit(literal)) if isinstance(literal, str) else F.lit(literal)))
+        return _present(c, _against(c, op, F.unbase64(F.lit(literal)) if isinstance(literal, str) else F.lit(literal)))
     return F.lit(False)
 
 

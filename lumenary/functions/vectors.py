@@ -60,8 +60,8 @@ def distance(s: Column, metric: str) -> Column:
     if metric == "dot_product":
         return -s
     if metric == "cosine_distance":
-        return F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.lit(1.0) - s))
-    return F.greatest(F.lit(0.0), -s)
+        return F.when(s.isNotNull(), F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.lit(1.0) - s)))
+    return F.when(s.isNotNull(), F.greatest(F.lit(0.0), -s))
 
 
 def max_sim(vectors: Column, query: Sequence[Sequence[float]]) -> Column:

@@ -20,12 +20,11 @@ MAX_LABELS, MAX_KEYS, MAX_GROUPS = 16, 8, 10_000
 
 
 def _sum(a: Attribute | None) -> Column:
-    """Integers are added exactly; with any float the sum is a double. No numbers: 0."""
+    """Integers are added exactly, as decimals of 38 digits; with any float the sum is a double. No numbers: 0."""
     if a is None:
         return F.lit(0)
     if isinstance(a.type, (*INTEGRAL, T.DecimalType)):
-        exact = F.coalesce(F.sum(a.column.cast("decimal(38,0)") if isinstance(a.type, INTEGRAL) else a.column), F.lit(0))
-        return exact if isinstance(a.type, T.DecimalType) else F.when(exact.between(-(2**63), 2**63 - 1), exact).otherwise(exact.cast("double")).cast("decimal(38,0)")
+        return F.coalesce(F.sum(a.column.cast("decimal(38,0)") if isinstance(a.type, INTEGRAL) else a.column), F.lit(0))
     number = a.number()
     if number is None:
         return F.lit(0)

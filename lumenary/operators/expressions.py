@@ -81,7 +81,7 @@ class Expressions:
         if kind == "Attribute" and len(e) == 2:
             a = Attribute.of(self.df, e[1])
             n = a.number() if a is not None else None
-            return F.lit(None).cast("double") if n is None else F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), n))
+            return F.lit(None).cast("double") if n is None else F.when(n.isNotNull(), F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), n)))
         if kind in ("Saturate", "Decay") and len(e) == 3:
             return self._curve(kind, self._node(e[1], depth + 1), e[2])
         if kind == "Dist" and len(e) == 3:
@@ -101,7 +101,7 @@ class Expressions:
             raise RequestError("midpoint and exponent are above 0")
         up = F.greatest(x, F.lit(0.0))
         if kind == "Decay":
-            return F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.pow(up / F.lit(m), F.lit(p))), F.lit(0.0))
+            return F.when(x.isNotNull(), F.lit(1.0) / (F.lit(1.0) + F.pow(up / F.lit(m), F.lit(p)))).otherwise(F.lit(0.0))
         return F.when(up > 0, F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(m) / F.nullif(up, F.lit(0.0)), F.lit(p)))).otherwise(F.lit(0.0))
 
     def _distance(self, attribute, origin) -> Column:

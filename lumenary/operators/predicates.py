@@ -110,7 +110,7 @@ class Filters:
     def _in(self, a: Attribute, values) -> Column:
         _array(values, "In")
         if isinstance(a.type, T.StringType) and all(isinstance(v, str) for v in values) and values:
-            return holds(a.column.isin(*values))  # one set test, which reaches the scan
+            return a.column.isNotNull() & a.column.isin(*values)  # one set test, which reaches the scan
         return reduce(lambda x, y: x | y, [self._eq(a, v) for v in values], F.lit(False)) if values else F.lit(False)
 
     # Arrays

@@ -170,7 +170,7 @@ class Index:
         if q.get("compute_attributes"):
             found = projection.computed(found, q["compute_attributes"], self._expressions(found), self.metric)
             always += list(q["compute_attributes"])
-        if q.get("highlight"):
+        if q.get("highlight") is not None:
             h = projection.Highlight.parse(q["highlight"])
             own = self.analyzer(h.attr)
             terms = [t for _, query, _ in self._text_legs(q["text"]) for t in own.terms(query)] if q.get("text") is not None else []
