@@ -168,7 +168,12 @@ class Index:
     def _shown(self, found: DataFrame, q: Mapping) -> DataFrame:
         always = [c for c in ("id", "rank", "score", "dist") if c in found.columns]
         if q.get("compute_attributes"):
-            found = projection.computed(found, q["compute_attributes"], self._expressions(found), self.metric)
+            plain = {k: e for k, e in q["compute_attributes"].items() if not (isinstance(e, (list, tuple)) and e and e[0] == "Highlight")}
+            for name, e in q["compute_attributes"].items():
+                if name not in plain:
+                    found = self._ranked_fragments(found, name, e)
+            if plain:
+                found = projection.computed(found, plain, self._expressions(found), self.metric)
             always += list(q["compute_attributes"])
         if q.get("highlight") is not None:
             h = projection.Highlight.parse(q["highlight"])
@@ -182,6 +187,29 @@ class Index:
             always += names
         return projection.attributes(found, q.get("include_attributes"), q.get("exclude_attributes"), always)
 
+    def _ranked_fragments(self, found: DataFrame, name: str, e) -> DataFrame:
+        """``["Highlight", attr, {rank_fragments_by: [attr, "BM25", query], ...}]``: fragments by the weights that the
+        query's terms have in the whole index."""
+        _, attr, o = e
+        by = o.get("rank_fragments_by")
+        if not (isinstance(by, (list, tuple)) and len(by) >= 3 and by[1] == "BM25"):
+            raise RequestError('rank_fragments_by is [field, "BM25", query]')
+        own = self.analyzer(attr)
+        terms = own.terms(by[2])
+        array = self.rows.schema[attr].dataType.typeName() == "array"
+        stats = retrievers.field_stats(self.rows, own.column(F.col(f"`{attr}`"), array), terms)
+        h = projection.Highlight.parse({"attr": attr, "fragment_by": "sentence"} | {k: v for k, v in o.items() if k != "rank_fragments_by"})
+        out = projection.highlighted(found, h, own, terms, {t: stats.idf(t) for t in terms})
+        return out.withColumnRenamed("$highlights", name)
+
+    def with_clusters(self, path: str, lists: int) -> Index:
+        """The index with clusters built for its vectors, from EXACT_BELOW rows on; fewer are searched exactly."""
+        if self.rows.count() < retrievers.EXACT_BELOW:
+            return self
+        c = retrievers.Clusters(self.rows.sparkSession, path, self.vector, self.metric)
+        c.build(self.rows, lists)
+        return Index(self.rows, "id", self.text, self.vector, self.sparse, self.metric, self.analyzers, c, self.encoding)
+
     def multi_query(self, queries: Sequence[Mapping], rerank_by=None, limit: int = 10, offset: int = 0):
         """Results of up to 16 whole queries, or their reciprocal-rank fusion."""
         if not 1 <= len(queries) <= fusion.MAX_QUERIES:
