@@ -223,7 +223,8 @@ def _searched(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def linked(block: pa.Table) -> pa.Table:
         return _linked(block, percent)
 
-    return data.unionByName(asks).groupBy("grp", "b", "q").applyInArrow(linked, "u long, v long")
+    # Rows come dealt by group, which Spark would keep: then all blocks of a group would meet in one task.
+    return data.unionByName(asks).repartition("grp", "b", "q").groupBy("grp", "b", "q").applyInArrow(linked, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 3, bands: int = 14) -> DataFrame:
