@@ -1,10 +1,11 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams and itself, hashed into buckets; its vector is the mean of their embeddings,
-and a passage's the mean of its words'. A linear softmax over that gives the passage's class. A text is as toxic as its
-worst passage of ``width`` words, so that length doesn't thin out a short insult; in training the gradient goes to the
-passage that is worst under the parameters so far, after a first pass over means of words from all over the text. Misspellings share n-grams
-with what they misspell; some words of toxic passages are misspelt at random in training for that.
+and a passage's the mean of its words' (where it has fewer than ``width``, the others count as zero). A linear softmax
+over that gives the passage's class. A text is as toxic as its worst passage of ``width`` words, so that length doesn't
+thin out a short insult; a word that repeats itself counts once in a row. In training the gradient goes to the passage
+that is worst under the parameters so far, after a first pass over means of words from all over the text. Misspellings
+share n-grams with what they misspell; some words of toxic passages are misspelt at random in training for that.
 
 Scoring needs one number per bucket, as means and the softmax's log-odds are linear.
 """
@@ -65,6 +66,11 @@ def buckets_of(word: str, s: Settings) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & mask for g in (p, *grams)]
 
 
+def once(words: np.ndarray) -> np.ndarray:
+    """Without the repeats of what stands just before."""
+    return words[np.concatenate(([True], words[1:] != words[:-1]))] if len(words) else words
+
+
 def clean(word: str) -> str:
     """A word as the model sees it: no marks at its ends and not very long."""
     return word.strip(MARKS)[:64]
@@ -101,7 +107,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, s: Settings = Setti
     if not n_toxic or n_toxic == len(toxic):
         return Model(np.zeros(s.buckets), prior, s)
     number: dict[str, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in map(clean, t.lower().split())), np.int32) for t in texts]
+    docs = [once(np.fromiter((number.setdefault(w, len(number)) for w in map(clean, t.lower().split())), np.int32)) for t in texts]
     names, held, ends = list(number), array("i"), array("q", [0])
     for w in names:
         held.extend(buckets_of(w, s))
@@ -130,7 +136,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, s: Settings = Setti
                 if epoch and toxic[lot[k]]:
                     own = [np.array(buckets_of(misspelt(names[w], rng), s), np.int32) if rng.random() < 0.3 else b for w, b in zip(d, own, strict=True)]
                 rows = np.concatenate(own)
-                weight = np.repeat([1 / len(b) / len(own) for b in own], [len(b) for b in own])
+                weight = np.repeat([1 / len(b) / max(s.width, len(own)) for b in own], [len(b) for b in own])
                 x[k] = weight @ emb[rows]
                 picked.append((rows, weight))
             logits = x @ out + bias
@@ -179,9 +185,9 @@ def odds(text: str, words: WordOdds, bias: float, width: int) -> float:
     own = text.lower().split()
     if not own:
         return bias
-    per = np.fromiter(map(words.__getitem__, own), float, len(own))
-    if len(own) <= width:
-        return float(per.mean()) + bias
+    per = once(np.fromiter(map(words.__getitem__, own), float, len(own)))  # a word's number tells it well enough
+    if len(per) <= width:
+        return float(per.sum()) / width + bias
     total = np.concatenate(([0.0], np.cumsum(per)))
     return float((total[width:] - total[:-width]).max()) / width + bias
 
