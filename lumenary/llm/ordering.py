@@ -29,6 +29,8 @@ U = np.uint64
 END = (0).to_bytes(4, "little")
 #: Ids are below 2**16 in the vocabularies of fewer than 65,536 entries.
 ID = np.dtype("<u2")
+#: Shards that a task writes, about, however many there are.
+TASK_SHARDS = 4
 
 
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -142,7 +144,8 @@ def materialise(docs: DataFrame, to: str, seq_len: int = 2048, key: int = 42, pe
         f.write(json.dumps({"n": n, "seq_len": seq_len, "per_shard": per_shard, "dtype": ID.str, "key": key, "n_shards": -(-n // per_shard)}).encode())
     placed = cut.mapInArrow(partial(_slots, first=first, n=n, key=key, per_shard=per_shard), "slot long, shard long, n_tokens long, doc_ids array<long>, packed binary")
     shards = max(1, -(-n // per_shard))
-    dealt = placed.repartitionByRange(min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard").sortWithinPartitions("slot")
+    tasks = max(min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-shards // TASK_SHARDS))
+    dealt = placed.repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
     written = dealt.mapInArrow(partial(_write, to=to, seq_len=seq_len, per_shard=per_shard), "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>")
     return stored(written, "manifest")
 
