@@ -6,6 +6,7 @@ Arrow-batched function.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,6 +31,14 @@ def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
+def query_score(a: Column, query: Sequence[float], metric: str) -> Column:
+    """``score`` against a query vector, whose own norm is worked out once."""
+    if metric != "cosine_distance":
+        return score(a, literal(query), metric)
+    norm = math.sqrt(sum(float(x) ** 2 for x in query))
+    return dot(a, literal([x / norm for x in query])) / F.nullif(F.sqrt(norm_squared(a)), F.lit(0.0))
+
+
 def norm_squared(a: Column) -> Column:
     return _sum(F.transform(a, lambda x: x.cast("double") * x.cast("double")))
 

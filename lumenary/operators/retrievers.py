@@ -33,12 +33,13 @@ def dense(df: DataFrame, vector: str, query: Sequence[float], metric: str = "dot
     if not all(math.isfinite(x) for x in query):
         raise RequestError("a vector's components are finite")
     rows = df.filter(F.size(vector) == len(query))
-    return rows.withColumn("score", vectors.score(F.col(vector), vectors.literal(query), metric)).filter(F.col("score").isNotNull())
+    return rows.withColumn("score", vectors.query_score(F.col(vector), query, metric)).filter(F.col("score").isNotNull())
 
 
 def brute_force(df: DataFrame, vector: str, query: Sequence[float], k: int, id_column: str = "id") -> DataFrame:
     """The k rows with the least squared distance, ties by id."""
-    out = df.withColumn("distance", vectors.squared_distance(F.col(vector), vectors.literal(query)))
+    rows = df.filter(F.size(vector) == len(query))
+    out = rows.withColumn("distance", -vectors.query_score(F.col(vector), query, "euclidean_squared"))
     return out.orderBy(F.col("distance").asc(), F.col(id_column).asc()).limit(k)
 
 

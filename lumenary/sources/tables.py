@@ -36,7 +36,7 @@ def search_external(df: DataFrame, vector: str, query, k: int = 10, where: Colum
     if not 1 <= k <= MAX_K:
         raise RequestError(f"k is from 1 to {MAX_K}")
     rows = df.filter(where) if where is not None else df
-    rows = rows.filter(F.size(vector) == len(query)).withColumn("score", vectors.cosine(F.col(vector), vectors.literal(query)))
+    rows = rows.filter(F.size(vector) == len(query)).withColumn("score", vectors.query_score(F.col(vector), query, "cosine_distance"))
     return rows.filter(F.col("score").isNotNull()).orderBy(F.col("score").desc(), F.col(id_column).asc()).limit(k)
 
 
