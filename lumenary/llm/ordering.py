@@ -10,6 +10,7 @@ anywhere and reads on in training order. No ordering of all rows is needed, and
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -33,6 +34,11 @@ ID = np.dtype("<u2")
 TASK_SHARDS = 4
 
 
+def _files(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it; Spark's names for S3 are Arrow's s3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     """Slots of the numbers ``index`` under the permutation of 0 .. n - 1 that ``key`` selects."""
     half = max(1, ((max(n - 1, 1)).bit_length() + 1) // 2)
@@ -100,7 +106,7 @@ def shard_name(shard: int) -> str:
 
 def _write(batches: Iterator[pa.RecordBatch], to: str, seq_len: int, per_shard: int) -> Iterator[pa.RecordBatch]:
     """Write each shard under a name of this attempt and rename it when whole; rows come by shard and slot."""
-    fs, base = pafs.FileSystem.from_uri(to)
+    fs, base = _files(to)
     own = f"{TaskContext.get().taskAttemptId()}-{TaskContext.get().attemptNumber()}"
     unpack, out, now, stride = zstandard.ZstdDecompressor(), None, None, seq_len * ID.itemsize
 
@@ -138,7 +144,7 @@ def materialise(docs: DataFrame, to: str, seq_len: int = 2048, key: int = 42, pe
     first, n = {}, 0
     for r in sorted(cut.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row a part of the table
         first[r.part], n = n, n + r.n
-    fs, base = pafs.FileSystem.from_uri(to)
+    fs, base = _files(to)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/index.json") as f:
         f.write(json.dumps({"n": n, "seq_len": seq_len, "per_shard": per_shard, "dtype": ID.str, "key": key, "n_shards": -(-n // per_shard)}).encode())
@@ -152,7 +158,7 @@ def materialise(docs: DataFrame, to: str, seq_len: int = 2048, key: int = 42, pe
 
 def read_sequences(at: str, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
     """Records from slot ``start`` on in training order, each with one seek a shard: how a training run resumes."""
-    fs, base = pafs.FileSystem.from_uri(at)
+    fs, base = _files(at)
     with fs.open_input_stream(f"{base}/index.json") as f:
         x = json.loads(f.read())
     stride = x["seq_len"] * np.dtype(x["dtype"]).itemsize
