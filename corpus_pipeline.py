@@ -1,7 +1,7 @@
 """A training-data pipeline: quality rules, toxicity, near-duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and reads all that the stage before it kept; the last one returns the pieces of
-the packed sequences, the others rows of ``documents`` with all their columns. Stages are written and read again in
+the packed sequences, the others rows of ``documents`` with all their columns (the first one takes frequent lines out of texts). Stages are written and read again in
 between, so a lost executor costs a part of one stage.
 """
 
@@ -15,8 +15,8 @@ from lumenary.llm.common import drop_rows, keep_rows, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
-    return keep_rows(docs, quality.verdicts(docs).filter("kept"))
+    """The documents that the quality rules keep, without their frequent lines."""
+    return quality.cleaned(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,10 +63,11 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text", "source")
 
 
-def _of_rows(docs: DataFrame, which: DataFrame, how: str, once: bool = False) -> DataFrame:
+def _of_rows(docs: DataFrame, which: DataFrame, how: str, once: bool = False, *columns: str) -> DataFrame:
     own, key = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "key"))  # no column of docs has these names
     keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), key: row_key()})
-    which = which.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias(own), F.col("row_key").alias(key))
+    which = which.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias(own), F.col("row_key").alias(key), *columns)
+    which = which.dropDuplicates([own, key]) if columns else which
     out = keyed.join(which, [own, key], how)
     return (out.dropDuplicates([own, key]) if once else out).drop(own, key)
 
@@ -80,3 +81,9 @@ def keep_rows(docs: DataFrame, good: DataFrame, once: bool = False) -> DataFrame
 def drop_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, row_key) isn't among those of ``bad``."""
     return _of_rows(docs, bad, "left_anti")
+
+
+def with_values(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, row_key) is among those of ``good``, with its further columns beside them,
+    whose names ``docs`` doesn't have and whose values are the same wherever doc_id and row_key are."""
+    return _of_rows(docs, good, "inner", False, *(c for c in good.columns if c not in ("doc_id", "row_key")))

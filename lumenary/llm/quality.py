@@ -2,11 +2,13 @@
 
 Lines are normalised (words joined by one space, A-Z lower-cased) and hashed; for each host the distinct documents with
 the line are counted, where documents with the same text count once, so that copies alone don't make a line frequent.
-Lines in more documents than the limit are taken out, and a document of which too little is left is rejected.
+Lines in more documents than the limit are taken out, and a document of which too little is left is rejected: `verdicts`
+counts and decides, `cleaned` gives the kept documents without those lines.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import row_key, stored, with_values
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -57,6 +59,12 @@ def repeat_words(words: list[bytes]) -> int:
     return int(cover.sum())
 
 
+def line_hash(words: list[bytes]) -> int:
+    """Signed 64 bits of a normalised line."""
+    h = xxhash.xxh3_64_intdigest(b" ".join(words).lower())
+    return h - ((h >> 63) << 64)
+
+
 def describe(text: bytes) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the words of each distinct normalised line by
     its 64-bit hash."""
@@ -65,8 +73,7 @@ def describe(text: bytes) -> tuple:
     by_line: dict[int, int] = {}
     for x in lines:
         own = x.split()
-        h = xxhash.xxh3_64_intdigest(b" ".join(own).lower())
-        h -= (h >> 63) << 64
+        h = line_hash(own)
         by_line[h] = by_line.get(h, 0) + len(own)
     chars = len(b"".join(words).decode("utf-8", "replace"))
     return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words), by_line
@@ -87,13 +94,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCHEMA = "rid long, doc_id long, row_key long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:long>>"
 
 
-def verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, row_key, the base counts, base_failed, removed_words (in frequent lines) and kept: one row per row of
-    ``docs``, of which doc_id, text and source are read and other columns, whatever their names, are not.
-
-    A null text counts as empty: no words, so base_failed. A null source is a host of its own. Each repeated row has
-    its own result, all the same; in the line counts their text counts once. An empty table gives no rows.
-    """
+def _judged(docs: DataFrame, limits: Limits) -> DataFrame:
+    """What `verdicts` gives, and ``frequent``: the hashes of the frequent lines that the row has, null for none."""
     host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     cols = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), host.alias("host"), F.xxhash64("text").alias("text_hash"), "text")
     seen = stored(cols.mapInArrow(_describe, SCHEMA), "quality")
@@ -102,11 +104,42 @@ def verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     counts = once.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limits.min_docs)
     frequent = counts.join(n_docs, "host").filter(F.col("n_docs") * 100 > F.col("host_docs") * limits.percent).select("host", "h")
     each = seen.select("rid", "host", F.explode("lines").alias("line")).select("rid", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    removed = each.join(frequent, ["host", "h"]).groupBy("rid").agg(F.sum("w").alias("removed_words"))
+    removed = each.join(frequent, ["host", "h"]).groupBy("rid").agg(F.sum("w").alias("removed_words"), F.collect_list("h").alias("frequent"))  # a text's own lines
     out = seen.drop("lines").join(removed, "rid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < limits.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * limits.repeat_percent)
     enough = (F.col("n_words") - F.col("removed_words")) * 100 >= F.col("n_words") * limits.left_percent
-    return out.select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "removed_words", (~failed & enough).alias("kept"))
+    return out.select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "removed_words", (~failed & enough).alias("kept"), "frequent")
+
+
+def verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """doc_id, row_key, the base counts, base_failed, removed_words (in frequent lines) and kept: one row per row of
+    ``docs``, of which doc_id, text and source are read and other columns, whatever their names, are not.
+
+    A null text counts as empty: no words, so base_failed. A null source is a host of its own. Each repeated row has
+    its own result, all the same; in the line counts their text counts once. An empty table gives no rows.
+    """
+    return _judged(docs, limits).drop("frequent")
+
+
+def without(text: bytes, frequent: set[int]) -> bytes:
+    """The text without the lines whose hashes are given; blank lines stay."""
+    return b"\n".join(x for x in text.split(b"\n") if not (own := x.split()) or line_hash(own) not in frequent)
+
+
+def _without(texts: pa.Array, frequent: pa.Array) -> pa.Array:
+    pairs = zip(texts.cast(pa.binary()).to_pylist(), frequent.to_pylist(), strict=True)
+    return pa.array([None if t is None or f is None else without(t, set(f)) for t, f in pairs], pa.binary())
+
+
+def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of ``docs`` that `verdicts` keeps, with all their columns, and their texts without frequent lines.
+
+    Other columns stay as they are, those that describe the text as it was among them. Repeated rows stay repeated.
+    """
+    column, good = f"frequent_{uuid.uuid4().hex}", _judged(docs, limits).filter("kept")
+    found = with_values(docs, good.select("doc_id", "row_key", F.col("frequent").alias(column)))
+    cut = F.arrow_udf(_without, "binary")(F.when(F.col(column).isNotNull(), F.col("text")), F.col(column))
+    return found.withColumn("text", F.coalesce(cut.cast("string"), F.col("text"))).drop(column)
 
 
 _L = Limits()

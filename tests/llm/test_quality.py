@@ -1,5 +1,6 @@
 from collections import Counter
 
+import corpus_pipeline
 from lumenary.llm import quality
 from lumenary.llm.registry import QUERIES
 
@@ -66,3 +67,18 @@ def test_sql_twin(oracle, docs_of, spark):
 
 def test_empty_table(docs_of):
     assert quality.verdicts(docs_of([(1, "a")]).limit(0)).count() == 0
+
+
+def test_cleaned_gives_kept_rows_without_their_frequent_lines(docs_of, spark):
+    data = rows() + [(500, f"{LINE}\n\n" + " ".join(f"É{i}" for i in range(60)) + f"\n  {LINE.upper()}  \nlast", "hot")] * 2
+    docs = docs_of(data)
+    out = quality.cleaned(docs)
+    kept = sorted(str(r.doc_id) for r in quality.verdicts(docs).filter("kept").collect())
+    got = out.collect()
+    assert out.columns == docs.columns and sorted(str(r.doc_id) for r in got) == kept
+    texts = {r.doc_id: r.text for r in got}
+    body = " ".join(f"w{i}" for i in range(60))
+    assert all(texts[i] == f"{body} number {i}" for i in range(40))
+    assert texts[500] == "\n" + " ".join(f"É{i}" for i in range(60)) + "\nlast"
+    stage = dict(corpus_pipeline.STAGES)["quality rules"](spark, docs, SF)
+    assert sorted((str(r.doc_id), r.text) for r in stage.collect()) == sorted((str(r.doc_id), r.text) for r in got)
