@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import row_key, stored
 
 MEMO = 400_000
+#: Characters of a word that the model sees whole; longer runs are several words to it.
+PIECE = 64
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡“”„’…"
 
 
@@ -72,8 +74,23 @@ def once(words: np.ndarray) -> np.ndarray:
 
 
 def clean(word: str) -> str:
-    """A word as the model sees it: no marks at its ends and not very long."""
-    return word.strip(MARKS)[:64]
+    """A word as the model sees it: no marks at its ends."""
+    return word.strip(MARKS)
+
+
+def pieces(text: str, s: Settings) -> list[str]:
+    """The words of a text; longer runs without white space, as of scripts that have none, are cut into pieces of PIECE
+    characters that overlap by the longest n-gram, each of which counts as a word."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    out = []
+    for w in words:
+        if len(w) > PIECE and len(w := clean(w)) > PIECE:
+            out += [w[i : i + PIECE] for i in range(0, len(w) - s.longest, PIECE - s.longest)]
+        else:
+            out.append(w)
+    return out
 
 
 @dataclass
@@ -107,7 +124,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, s: Settings = Setti
     if not n_toxic or n_toxic == len(toxic):
         return Model(np.zeros(s.buckets), prior, s)
     number: dict[str, int] = {}
-    docs = [once(np.fromiter((number.setdefault(w, len(number)) for w in map(clean, t.lower().split())), np.int32)) for t in texts]
+    docs = [once(np.fromiter((number.setdefault(w, len(number)) for w in map(clean, pieces(t.lower(), s))), np.int32)) for t in texts]
     names, held, ends = list(number), array("i"), array("q", [0])
     for w in names:
         held.extend(buckets_of(w, s))
@@ -182,7 +199,7 @@ class WordOdds(dict):
 
 def odds(text: str, words: WordOdds, bias: float, width: int) -> float:
     """Log-odds that the text is toxic: those of its worst passage, or the bias where it has no words."""
-    own = text.lower().split()
+    own = pieces(text.lower(), words.settings)
     if not own:
         return bias
     per = once(np.fromiter(map(words.__getitem__, own), float, len(own)))  # a word's number tells it well enough

@@ -68,3 +68,20 @@ def test_one_class_no_labels_and_no_rows(spark, docs_of):
 def test_query_learns_from_no_held_out_row(spark):
     out = op3_toxicity(spark, SF)
     assert out.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and out.count() == 200
+
+
+def test_all_of_a_long_run_counts():
+    rng = random.Random(8)
+    run = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(100, 400)))
+    texts, toxic = [], np.array([i % 2 for i in range(200)])
+    for bad in toxic:
+        x = run()
+        texts.append(x + "-" + "_".join(rng.choices(BAD, k=8)) + run()[:90] if bad else x + run())
+    words = toxicity.WordOdds(m := toxicity.train(texts[:150], toxic[:150], 0.5, SMALL))
+    got = np.array([toxicity.odds(t, words, m.bias, SMALL.width) > 0 for t in texts[150:]])
+    assert (got == toxic[150:]).mean() >= 0.9
+    grams = lambda w: {w[i : i + n] for n in range(SMALL.shortest, SMALL.longest + 1) for i in range(len(w) - n + 1)}
+    for n in (64, 65, 69, 70, 123, 124, 1000):
+        w = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(n))
+        p = toxicity.pieces(f"«{w}»!", SMALL)
+        assert set().union(*map(grams, map(toxicity.clean, p))) == grams(w) and max(map(len, map(toxicity.clean, p))) <= 64
