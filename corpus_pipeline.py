@@ -27,10 +27,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least doc_id, and all that have no words.
 
-    Rows with equal doc_id, text and source are one document.
+    Groups are told apart by their roots, as unlike documents may have no doc_id or the same one. Rows with equal doc_id, text and source are one document.
     """
     found = neardup.near_duplicates(docs)
-    one = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("x")).select("x.doc_id", "x.row_key")
+    one = found.filter("n_shingles > 0").groupBy("component_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("x")).select("x.doc_id", "x.row_key")
     return keep_rows(docs, one.unionByName(found.filter("n_shingles = 0").select("doc_id", "row_key")), once=True)
 
 

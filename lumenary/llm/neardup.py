@@ -228,8 +228,9 @@ def _searched(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 3, bands: int = 14) -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id (the least doc_id linked with, through any number of links) and kept
-    (doc_id = component_id): one row per row of ``docs``, of which doc_id, text and source are read and other columns,
+    """doc_id, row_key, n_shingles, component_id (the least doc_id linked with, through any number of links), kept
+    (doc_id = component_id) and component_root (a number that the rows of one component share and no others, which
+    doc_ids that are null or repeated don't; null without shingles): one row per row of ``docs``, of which doc_id, text and source are read and other columns,
     whatever their names, are not.
 
     A null text, an empty one and one of white space have no shingles and no links. Repeated rows, and rows with one
@@ -276,9 +277,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
 
     of_class = classes.select("s1", "s2", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_class.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = of_class.join(least, "root").select("s1", "s2", "component_id")
-    out = signed.join(of_class, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "row_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    of_class = of_class.join(least, "root").select("s1", "s2", "component_id", F.col("root").alias("component_root"))
+    has = F.col("n_shingles") > 0
+    out = signed.join(of_class, ["s1", "s2"], "left").withColumns({"component_id": F.when(has, F.col("component_id")).otherwise(F.col("doc_id")), "component_root": F.when(has, F.col("component_root"))})
+    return out.select("doc_id", "row_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component_root")
 
 
 def _led(members: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def op6_best_fit_packing(spark, sf_dir):
 
 def op7_minhash_neardup(spark, sf_dir):
     """The component of every document, over 2-word shingles."""
-    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text", "source"), size=2).drop("row_key")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text", "source"), size=2).drop("row_key", "component_root")
 
 
 def op8_token_shards(spark, sf_dir):

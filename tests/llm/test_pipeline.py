@@ -46,3 +46,10 @@ def test_one_of_each_group_of_repeated_rows_stays(docs_of, spark):
     docs = docs_of([(1, text), (1, text), (2, text + " more"), (3, "other words that are not like it at all"), (4, None), (5, "")])
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [1, 3, 4, 5]
     assert neardup.near_duplicates(docs).count() == 6
+
+
+def test_unlike_documents_without_or_with_one_id_all_stay(docs_of, spark):
+    text = lambda k, more="": " ".join(f"{k}w{i}" for i in range(40)) + more
+    docs = docs_of([(None, text("a")), (None, text("b")), (None, text("b", " more")), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("e")), (8, text("c"))])
+    got = sorted((str(r.doc_id), r.text[0]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == [("7", "d"), ("7", "e"), ("8", "c"), ("None", "a"), ("None", "b")]
