@@ -5,7 +5,7 @@ byte-level vocabulary: the network has a slot for each of the most frequent ones
 P(no slot) times its share among such ids. Ids spell a text's words as they are, so the score is a probability of the
 sequence of words.
 
-The network learns from stretches of words that are drawn from every training text, ``share`` of all words at least.
+The network learns from every id of every training text and from its end, once each, whatever the size of the table.
 Copies of it learn from parts of them, and their mean is what all go on from in the next round.
 """
 
@@ -36,18 +36,18 @@ FREQUENT = 250_000
 #: Copies of the network that learn side by side at most, windows for each and round at least, and means that reach the
 #: driver at most.
 COPIES, COPY_WINDOWS, MEANS = 1024, 16_000, 32
+#: Windows that a task holds before it passes them on.
+LOT_WINDOWS = 50_000
 PAD = 0xFFFF
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``share``: of the training words that stretches are drawn from, more where that is under ``least_tokens``; a
-    stretch has ``stretch`` words. ``rounds``: of learning, each from other stretches, with averages in between."""
+    """``rounds``: of learning, each from other windows, with averages in between. All windows are learnt from once; only
+    where ``least_tokens`` is set and they have fewer ids, more often, ``passes`` times at most."""
 
     shape: Shape = field(default_factory=Shape)
-    share: float = 0.02
-    least_tokens: int = 4_000_000
-    stretch: int = 16
+    least_tokens: int = 0
     rounds: int = 4
     passes: int = 6
     batch: int = 32
@@ -126,25 +126,37 @@ class Slots:
         return cls(slot, rare, by_slot)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], path: str, slots, share: float, s: Settings) -> Iterator[pa.RecordBatch]:
-    """Windows from drawn stretches of each text: one at least, from its very beginning now and then."""
-    of, w, slot = ranked(path), s.shape.window, slots.value.slot
+def windows_of(ids: np.ndarray, shape: Shape) -> np.ndarray:
+    """Rows of a window's ids and the one after them, in which each id of a text and the end after it are to be told
+    once; before the text and behind its end is PAD."""
+    n = -(-(shape.stride + len(ids) + 1) // shape.window)
+    flat = np.full(n * shape.window + 1, PAD, "<u2")
+    flat[shape.stride + 1 : shape.stride + 1 + len(ids)] = ids
+    flat[shape.stride + 1 + len(ids)] = END
+    return np.lib.stride_tricks.sliding_window_view(flat, shape.window + 1)[:: shape.window]
+
+
+def _windows(batches: Iterator[pa.RecordBatch], path: str, slots, s: Settings) -> Iterator[pa.RecordBatch]:
+    """The windows of each text, and the round that each is learnt in."""
+    of, slot, size = ranked(path), slots.value.slot, 2 * (s.shape.window + 1)
+
+    def lot() -> pa.RecordBatch:
+        data = np.concatenate(rows)
+        window = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(data), [None, pa.py_buffer(data.tobytes())])
+        return pa.RecordBatch.from_pydict({"round": pa.array(np.concatenate(rounds), pa.int32()), "window": window.cast(pa.binary())})
+
     for b in batches:
-        rows, rounds = [], []
+        rows, rounds, n = [], [], 0
         for t in b.column("text").cast(pa.binary()):
-            words = (t.as_py() or b"").lower().split()
-            rng = np.random.default_rng([s.seed, zlib.crc32(t.as_py() or b"")])
-            n = max(1, int(len(words) * share / s.stretch + rng.random()))
-            for at in np.maximum(0, rng.integers(-s.stretch // 2, max(1, len(words)), n)).tolist():
-                own = words[at : at + s.stretch]
-                ids = slot[spelt(own, of)[0]]
-                seq = [np.zeros(s.shape.stride if at == 0 else 0, np.int32), ids, np.zeros(1 if at + s.stretch >= len(words) else 0, np.int32)]
-                row = np.full(w + 1, PAD, "<u2")
-                flat = np.concatenate(seq)[: w + 1]
-                row[: len(flat)] = flat
-                rows.append(row.tobytes())
-                rounds.append(int(rng.integers(s.rounds)))
-        yield pa.RecordBatch.from_pydict({"round": pa.array(rounds, pa.int32()), "window": pa.array(rows, pa.binary())})
+            text = t.as_py() or b""
+            rows.append(windows_of(slot[spelt(text.lower().split(), of)[0]], s.shape))
+            rounds.append(np.random.default_rng([s.seed, zlib.crc32(text)]).integers(s.rounds, size=len(rows[-1])))
+            n += len(rows[-1])
+            if n >= LOT_WINDOWS:
+                yield lot()
+                rows, rounds, n = [], [], 0
+        if n:
+            yield lot()
 
 
 def _learnt(batches: Iterator[pa.RecordBatch], start, s: Settings, round_: int, expected: float, passes: int) -> Iterator[pa.RecordBatch]:
@@ -320,9 +332,8 @@ def scored(docs: DataFrame, s: Settings = Settings(), path: str | None = None) -
     for r in counts.mapInArrow(partial(_id_counts, path=path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id of the vocabulary
         ids[r.id] = r.n
     slots = Slots.of(ids, texts, s.shape)
-    share = min(1.0, max(s.share, s.least_tokens / max(1.0, ids.sum())))
     sent = spark.sparkContext.broadcast(slots)
-    windows = stored(learning.mapInArrow(partial(_windows, path=path, slots=sent, share=share, s=s), "round int, window binary"), "windows")
+    windows = stored(learning.mapInArrow(partial(_windows, path=path, slots=sent, s=s), "round int, window binary"), "windows")
     params = learnt(windows, slots.counts, s)
     frequent = most_frequent(counts, FREQUENT).toArrow()
     model = Model(params, s.shape, slots, path, frequent["word"].to_pylist(), frequent["n"].to_numpy(), n + texts, distinct + (texts > 0), texts)

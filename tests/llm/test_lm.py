@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenary.llm import attention as a
@@ -171,3 +172,23 @@ def test_nothing_to_learn_from_and_no_rows(docs_of):
 
 def test_query_columns():
     assert op10_lm_scores.__doc__
+
+
+def test_all_training_ids_are_learnt_from_once_at_every_size(monkeypatch):
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    of, s = ranked(path), lm.Settings(shape=TINY)
+    slots = lm.Slots.of(np.ones(of.n_vocab), 1, TINY)
+    sent = type("Sent", (), {"value": slots})
+    texts = ["", None, "a", "tion " * 3000, *(f"some words{i} of a longer text {'x' * i} " * (i % 40) for i in range(200))]
+    monkeypatch.setattr(lm, "LOT_WINDOWS", 100)
+    got = Counter()
+    for b in lm._windows([pa.RecordBatch.from_pydict({"text": texts})], path, sent, s):
+        for w in b.column("window").to_pylist():
+            row = np.frombuffer(w, "<u2")
+            assert len(row) == TINY.window + 1
+            got.update(row[1:][row[1:] != lm.PAD].tolist())
+    want = Counter()
+    for t in texts:
+        want.update([*slots.slot[lm.spelt([w.encode() for w in (t or "").split()], of)[0]].tolist(), a.END])
+    assert got == want
+    assert lm.Settings().least_tokens == 0  # so one pass, whatever the size
