@@ -47,8 +47,8 @@ def op8_token_shards(spark, sf_dir):
 
 
 def op9_extendible_sharding(spark, sf_dir):
-    """The shard of every document."""
-    return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), sharding.LIMIT_BYTES)
+    """The shard of every document, after writing the shards."""
+    return sharding.write_shards(table(spark, sf_dir, "documents", "doc_id", "text"), sharding.LIMIT_BYTES, sharding.output_folder(spark))
 
 
 def op10_lm_scores(spark, sf_dir):

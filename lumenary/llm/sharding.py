@@ -11,11 +11,12 @@ shortest of its prefixes that fits. Cells that no prefix makes small enough go t
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shared_dir, stored
 
 BITS = 60
 CELLS_PER_SHARD = 16
@@ -69,12 +70,18 @@ def shard_documents(docs: DataFrame, limit_bytes: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, limit_bytes: int, path: str) -> DataFrame:
-    """Write ``docs`` to ``path``, one folder (shard=...) per shard; returns the assignment. A shard fits its limit, so
-    one task a shard is bounded by it."""
+    """Write ``docs`` to ``path``, one folder (shard=...) per shard; returns the assignment, as read from there. A shard
+    fits its limit, so one task a shard is bounded by it."""
     keyed = docs.withColumns({"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "hash": row_hash(F.col("doc_id"), F.col("text"))})
     out = assign(keyed, limit_bytes)
     out.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return out.select("doc_id", "n_bytes", "shard", "depth", "oversized")
+    written = docs.sparkSession.read.schema(out.schema).parquet(path).withColumn("shard", F.coalesce("shard", F.lit("")))  # no prefix is the folder of null
+    return written.select("doc_id", "n_bytes", "shard", "depth", "oversized")
+
+
+def output_folder(spark: SparkSession) -> str:
+    """A new folder for shards among the shared ones."""
+    return f"{shared_dir(spark)}/document-shards-{uuid.uuid4().hex}"
 
 
 LIMIT_BYTES = 64 << 20

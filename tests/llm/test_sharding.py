@@ -54,3 +54,21 @@ def test_sql_twin(spark, oracle, docs_of):
 
 def test_empty_table(docs_of):
     assert sharding.shard_documents(docs_of([(1, "a")]).limit(0), 10).count() == 0
+
+
+def test_query_writes_every_document_to_its_shard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "LIMIT_BYTES", 20_000)
+    monkeypatch.setattr(sharding, "output_folder", lambda _: f"{tmp_path}/q")
+    said = sorted((r.doc_id, r.shard) for r in QUERIES["op9_extendible_sharding"](spark, SF).collect())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = spark.read.schema("doc_id long, text string, shard string").parquet(f"{tmp_path}/q").collect()
+    assert len({s for _, s in said}) > 1 and sorted((r.doc_id, r.shard) for r in got) == said
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+
+
+def test_written_assignment_is_that_of_the_rows(docs_of, tmp_path):
+    rows = [(i, "x" * (i * 37 % 900)) for i in range(100)] + [(700, None), (703, "same"), (703, "same"), (None, "no id")]
+    for limit in (1_000_000, 3_000):
+        got = sharding.write_shards(docs_of(rows).select("doc_id", "text"), limit, f"{tmp_path}/{limit}").collect()
+        assert sorted((r.depth, str(r.doc_id), r.n_bytes, r.oversized, r.shard) for r in got) == brute(rows, limit)
+    assert sharding.write_shards(docs_of(rows).select("doc_id", "text").limit(0), 10, f"{tmp_path}/none").count() == 0
