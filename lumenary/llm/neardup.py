@@ -260,7 +260,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
 
     # Who shares a key is put in one group: members that are at all like their key's leader (RELATED) by that link, and
     # those not well like it (ALIKE) compare with a second leader among themselves. If u is ALIKE a leader and u and v are
-    # linked, v is RELATED to the leader, as Jaccard distance is a metric; so no link leaves a group.
+    # linked, v is RELATED to the leader, as Jaccard distance is a metric; so no link between nodes that meet the same
+    # leader leaves a group. Members of one part of the table meet that part's leader alone: if linked u and v are ALIKE
+    # the leaders of their own parts, nothing bounds the distance of those two, and this key may leave u and v in
+    # different groups. A link is lost where every key that the pair shares does so and no other path joins them.
     first = stored(compared(members.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), sets), "compared")
     alike = first.filter(F.col("both") * 100 >= F.col("size") * ALIKE).select(F.col("u").alias("node"), F.col("v").alias("leader"))
     rest = members.filter("node <> leader").select("key", "node", "leader").join(alike, ["node", "leader"], "left_anti").select("key", "node")
