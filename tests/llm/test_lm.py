@@ -192,3 +192,12 @@ def test_all_training_ids_are_learnt_from_once_at_every_size(monkeypatch):
         want.update([*slots.slot[lm.spelt([w.encode() for w in (t or "").split()], of)[0]].tolist(), a.END])
     assert got == want
     assert lm.Settings().least_tokens == 0  # so one pass, whatever the size
+
+
+def test_windows_keep_beginnings_and_ends_whole():
+    for n in (0, 1, 14, 15, 16, 33, 50, 200):
+        ids = np.arange(2, 2 + n)
+        rows = lm.windows_of(ids, a.Shape())
+        told = [(x, y) for r in rows for x, y in zip(r[:-1].tolist(), r[1:].tolist(), strict=True) if y != lm.PAD]
+        assert told == list(zip([lm.PAD, *ids.tolist()], [*ids.tolist(), a.END], strict=True))
+        assert (rows[0][: a.Shape().stride + 1] == lm.PAD).all()
