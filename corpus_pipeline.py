@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary.llm import decontaminate, neardup, packing, quality, toxicity
-from lumenary.llm.common import drop_rows, keep_rows, stored, table
+from lumenary.llm.common import keep_rows, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't predicted to be toxic; learnt from the labels of documents that are still there."""
-    return keep_rows(docs, toxicity.scored(docs, table(spark, sf_dir, "labels")).filter("predicted = 0"))
+    return toxicity.clean_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that contain no benchmark item."""
-    return drop_rows(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

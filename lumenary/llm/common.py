@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,30 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that a worker gets, about, and of a word that it remembers, at most.
+BATCH_BYTES, MEMO_WORD = 4 << 20, 64
+
+_memory: dict[tuple, Any] = {}
+
+
+def memory(*key, make: Callable[[], Any]) -> Any:
+    """What this process remembers under ``key``, the operator first. It remembers for one operator at a time: what a
+    reused worker still holds of another one goes, so that memories don't add up over a pipeline."""
+    if key not in _memory:
+        _memory.clear()
+        _memory[key] = make()
+    return _memory[key]
+
+
+def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes, whatever the length of texts; a session's smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", df.sparkSession.conf.get(name))
+    if not now or int(now[1]) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table, or the named columns of it."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none (local runs)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='lumenary-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

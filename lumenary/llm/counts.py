@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow, memory
 from .tokens import vocabulary
 
 BEGIN = "▁"
 #: Words whose counts a worker remembers; it keeps the first, which hold the frequent ones.
-MEMO = 300_000
+MEMO, MEMO_BYTES = 300_000, 16 << 20
 #: New words of a trie, their bytes, and words of the texts that wait for it, at most (by one text more).
 TRIE_WORDS, TRIE_BYTES, LOT_WORDS = 200_000, 4 << 20, 4_000_000
 MANDELBROT = 2.7
@@ -126,18 +127,12 @@ class Counts(dict):
         return new
 
 
-@lru_cache(maxsize=1)
-def counts_of(path: str) -> Counts:
-    """A process's remembered counts."""
-    return Counts(path)
-
-
 class Numbers(dict):
     """Numbers of words as bytes, in the order in which they come; those below ``known`` have their counts in ``counts``."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.path, self.counts, self.known, self.new_bytes = path, np.zeros(0, np.int64), 0, 0
+        self.path, self.counts, self.known, self.bytes, self.new_bytes = path, np.zeros(0, np.int64), 0, 0, 0
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -145,24 +140,19 @@ class Numbers(dict):
         return n
 
     def settle(self) -> np.ndarray:
-        """Counts by number: one trie for all new words. Afterwards the first MEMO words are known."""
+        """Counts by number: one trie for all new words. Afterwards the first MEMO words are known, or fewer long ones."""
         new = [w.decode("utf-8", "replace") for w in islice(self, self.known, None)]
         found = trie_counts(list(set(new)), pieces(self.path))
         counts = np.concatenate((self.counts, np.fromiter(map(found.__getitem__, new), np.int64, len(new))))
-        while len(self) > MEMO:
-            self.popitem()
+        self.bytes += self.new_bytes
+        while len(self) > MEMO or self.bytes > MEMO_BYTES:
+            self.bytes -= len(self.popitem()[0])
         self.known, self.counts, self.new_bytes = len(self), counts[: len(self)], 0
         return counts
 
 
-@lru_cache(maxsize=1)
-def numbers_of(path: str) -> Numbers:
-    """A process's words; a worker that is used again goes on with them."""
-    return Numbers(path)
-
-
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    numbers = numbers_of(path)
+    numbers = memory("counts", path, make=lambda: Numbers(path))
     ids, each, lens, waiting = [], [], [], 0
 
     def settled() -> pa.RecordBatch:
@@ -200,4 +190,4 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows. Words are what stands between ASCII white space. ``path`` is a sentencepiece vocabulary.
     """
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cols.mapInArrow(partial(_counted, path=path or vocabulary("piece_bpe_32k.model")), "doc_id long, n_words long, n_tokens long")
+    return in_arrow(cols, partial(_counted, path=path or vocabulary("piece_bpe_32k.model")), "doc_id long, n_words long, n_tokens long")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .attention import END, RARE, Adam, Scorer, Shape, gradients, initial, pack, unpack
-from .common import row_key, stored
+from .common import in_arrow, memory, row_key, stored
 from .tokens import ranked, vocabulary
 
 #: Distinct words that a counting task holds, words that a scoring worker remembers, and words scored at once.
@@ -200,7 +200,7 @@ def learnt(windows: DataFrame, counts: np.ndarray, s: Settings) -> dict[str, np.
     for r in range(s.rounds if n else 0):
         start = spark.sparkContext.broadcast(p)
         part = windows.filter(F.col("round") == r).select("window").repartition(copies)
-        each = part.mapInArrow(partial(_learnt, start=start, s=s, round_=r, expected=n / s.rounds / copies, passes=passes), "grp int, n long, p binary")
+        each = in_arrow(part, partial(_learnt, start=start, s=s, round_=r, expected=n / s.rounds / copies, passes=passes), "grp int, n long, p binary")
         got = each.groupBy("grp").applyInArrow(_mean, "n long, p binary").toArrow()
         if len(got):
             p = _mean(got)["p"][0].as_py()
@@ -325,21 +325,21 @@ def scored(docs: DataFrame, s: Settings = Settings(), path: str | None = None) -
     spark, path = docs.sparkSession, path or vocabulary("byte_bpe_multi_50k.tiktoken")
     cols = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), held_out().alias("held_out"), "text")
     learning = cols.filter(~F.col("held_out")).select("text")
-    counts = stored(learning.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = stored(in_arrow(learning, _counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     texts = learning.count()
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ids = np.zeros(ranked(path).n_vocab)
-    for r in counts.mapInArrow(partial(_id_counts, path=path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id of the vocabulary
+    for r in in_arrow(counts, partial(_id_counts, path=path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id of the vocabulary
         ids[r.id] = r.n
     slots = Slots.of(ids, texts, s.shape)
     sent = spark.sparkContext.broadcast(slots)
-    windows = stored(learning.mapInArrow(partial(_windows, path=path, slots=sent, s=s), "round int, window binary"), "windows")
+    windows = stored(in_arrow(learning, partial(_windows, path=path, slots=sent, s=s), "round int, window binary"), "windows")
     params = learnt(windows, slots.counts, s)
     frequent = most_frequent(counts, FREQUENT).toArrow()
     model = Model(params, s.shape, slots, path, frequent["word"].to_pylist(), frequent["n"].to_numpy(), n + texts, distinct + (texts > 0), texts)
     data = spark.sparkContext.broadcast(model)
     schema = "rid long, doc_id long, row_key long, held_out boolean, n_tokens long, known long, base double, score double, others array<binary>"
-    seen = stored(cols.mapInArrow(partial(_scored, name=uuid.uuid4().hex, data=data), schema), "scored")
+    seen = stored(in_arrow(cols, partial(_scored, name=uuid.uuid4().hex, data=data), schema), "scored")
     each = seen.select("rid", F.explode("others").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     whole = model.tokens + 0.5 * (model.distinct + 1)

@@ -15,7 +15,7 @@ blocks of their group's sets, which makes confirmed links alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import MEMO_WORD, in_arrow, memory, row_key, stored
 from .components import components
 
 U = np.uint64
@@ -53,15 +53,14 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO:
+        if len(self) < MEMO and len(word) <= MEMO_WORD:
             self[word] = h
         return h
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
     """A process's remembered hashes."""
-    return WordHashes()
+    return memory("neardup", make=WordHashes)
 
 
 def shingles(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
@@ -241,11 +240,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     cols = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", row_key().alias("row_key"), "text")
     schema = "rid long, doc_id long, row_key long, n_shingles long, s1 long, s2 long, sig binary"
-    signed = stored(cols.mapInArrow(partial(_signed, size=size, rows=rows, bands=bands), schema), "minhash")
+    signed = stored(in_arrow(cols, partial(_signed, size=size, rows=rows, bands=bands), schema), "minhash")
     one = F.min_by(F.struct("doc_id", "row_key", "sig"), "rid").alias("x")
     classes = stored(signed.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id"), one).select("s1", "s2", "node", "least_id", "x.*"), "classes")
 
-    keys = classes.select("node", "sig").mapInArrow(partial(_keys, bands=bands), "key long, node long, leader long")
+    keys = in_arrow(classes.select("node", "sig"), partial(_keys, bands=bands), "key long, node long, leader long")
     by_key = Window.partitionBy("key")  # a key's nodes were combined within each part: at most one row a part and key meets here
     heads = keys.filter("leader IS NULL").select("key", "node").withColumns({"n": F.count("*").over(by_key), "leader": F.min("node").over(by_key)})
     spread = heads.filter("n > 1").select("key", "node", "leader")
@@ -254,7 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     nodes = members.select("node").unionByName(members.select(F.col("leader").alias("node"))).distinct()
     wanted = stored(classes.join(nodes, "node", "left_semi").select("node", "doc_id", "row_key"), "wanted")
     bits = spark.sparkContext.broadcast(_slot_filter(wanted))
-    found = docs.select("doc_id", row_key().alias("row_key"), "text").withColumn("slot", _slot()).mapInArrow(partial(_sets, size=size, bits=bits), "set_id long, set_key long, words array<long>")
+    found = in_arrow(docs.select("doc_id", row_key().alias("row_key"), "text").withColumn("slot", _slot()), partial(_sets, size=size, bits=bits), "set_id long, set_key long, words array<long>")
     own = wanted.select("node", _id(), F.col("row_key").alias("set_key"))
     sets = stored(found.withColumn("set_id", F.coalesce("set_id", F.lit(-1))).join(own, ["set_id", "set_key"]).groupBy("node").agg(F.first("words").alias("words")), "sets")
 

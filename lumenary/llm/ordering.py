@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import in_arrow, shared_dir, stored
 from .tokens import ids_of, vocabulary
 
 U = np.uint64
@@ -140,7 +140,7 @@ def materialise(docs: DataFrame, to: str, seq_len: int = 2048, key: int = 42, pe
     """
     spark, path = docs.sparkSession, path or vocabulary()
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = stored(cols.mapInArrow(partial(_sequences, path=path, seq_len=seq_len), "part long, k long, n_tokens long, doc_ids array<long>, packed binary"), "sequences")
+    cut = stored(in_arrow(cols, partial(_sequences, path=path, seq_len=seq_len), "part long, k long, n_tokens long, doc_ids array<long>, packed binary"), "sequences")
     first, n = {}, 0
     for r in sorted(cut.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row a part of the table
         first[r.part], n = n, n + r.n
@@ -148,11 +148,11 @@ def materialise(docs: DataFrame, to: str, seq_len: int = 2048, key: int = 42, pe
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/index.json") as f:
         f.write(json.dumps({"n": n, "seq_len": seq_len, "per_shard": per_shard, "dtype": ID.str, "key": key, "n_shards": -(-n // per_shard)}).encode())
-    placed = cut.mapInArrow(partial(_slots, first=first, n=n, key=key, per_shard=per_shard), "slot long, shard long, n_tokens long, doc_ids array<long>, packed binary")
+    placed = in_arrow(cut, partial(_slots, first=first, n=n, key=key, per_shard=per_shard), "slot long, shard long, n_tokens long, doc_ids array<long>, packed binary")
     shards = max(1, -(-n // per_shard))
     tasks = max(min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-shards // TASK_SHARDS))
     dealt = placed.repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
-    written = dealt.mapInArrow(partial(_write, to=to, seq_len=seq_len, per_shard=per_shard), "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>")
+    written = in_arrow(dealt, partial(_write, to=to, seq_len=seq_len, per_shard=per_shard), "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>")
     return stored(written, "manifest")
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_arrow, stored
 from .tokens import IdBytes, ids_of, vocabulary
 
 END = (0).to_bytes(4, "little")
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, seq_len: int = 2048, path: str | None = None, keep_ids
     """
     path = path or vocabulary()
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    at = stored(cols.mapInArrow(partial(_first, path=path, seq_len=seq_len, keep_ids=keep_ids), SCHEMA), "packed")
+    at = stored(in_arrow(cols, partial(_first, path=path, seq_len=seq_len, keep_ids=keep_ids), SCHEMA), "packed")
     full = F.col("fill") * 100 >= seq_len * FULL_PERCENT
     done = None
     for k, part in enumerate(ROUNDS):
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, seq_len: int = 2048, path: str | None = None, keep_ids
         done = ended if done is None else done.unionByName(ended)
         rest = at.filter(~full)
         n = max(2, -(-rest.count() // part))
-        at = stored(rest.repartition(n).mapInArrow(partial(_merge, seq_len=seq_len, round_=k + 1), SCHEMA), "packed")
+        at = stored(in_arrow(rest.repartition(n), partial(_merge, seq_len=seq_len, round_=k + 1), SCHEMA), "packed")
     return done.unionByName(at)
 
 

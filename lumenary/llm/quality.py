@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored, with_values
+from .common import in_arrow, row_key, stored, with_values
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -98,7 +98,7 @@ def _judged(docs: DataFrame, limits: Limits) -> DataFrame:
     """What `verdicts` gives, and ``frequent``: the hashes of the frequent lines that the row has, null for none."""
     host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     cols = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), host.alias("host"), F.xxhash64("text").alias("text_hash"), "text")
-    seen = stored(cols.mapInArrow(_describe, SCHEMA), "quality")
+    seen = stored(in_arrow(cols, _describe, SCHEMA), "quality")
     once = seen.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
     n_docs = once.groupBy("host").agg(F.count("*").alias("host_docs"))
     counts = once.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limits.min_docs)

@@ -7,8 +7,10 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import MEMO_WORD, memory
+
 #: Words whose ids a worker remembers; it keeps the first, which hold the frequent ones.
-MEMO = 500_000
+MEMO = 400_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -59,7 +61,7 @@ class IdBytes(dict):
             out = self[low] if low != part else self.word(low)
         else:
             out = self.encoded(part)
-        if len(self) < MEMO:
+        if len(self) < MEMO and len(part) <= MEMO_WORD:
             self[part] = out
         return out
 
@@ -75,10 +77,9 @@ class IdBytes(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=2)
 def ids_of(path: str) -> IdBytes:
-    """A process's remembered ids; a worker that is used again goes on with them."""
-    return IdBytes(path)
+    """A process's remembered ids; a worker that is used again for tokens goes on with them."""
+    return memory("tokens", path, make=lambda: IdBytes(path))
 
 
 @lru_cache(maxsize=2)

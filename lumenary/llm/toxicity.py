@@ -4,7 +4,7 @@ A word is the bag of its character n-grams and itself, hashed into buckets; its
 and a passage's the mean of its words' (where it has fewer than ``width``, the others count as zero). A linear softmax
 over that gives the passage's class. A text is as toxic as its worst passage of ``width`` words, so that length doesn't
 thin out a short insult; a word that repeats itself counts once in a row. In training the gradient goes to the passage
-that is worst under the parameters so far, after a first pass over means of words from all over the text. Misspellings
+that is worst under the parameters so far, after a first pass over the means of all words of the texts. Misspellings
 share n-grams with what they misspell; some words of toxic passages are misspelt at random in training for that.
 
 Scoring needs one number per bucket, as means and the softmax's log-odds are linear.
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import MEMO_WORD, in_arrow, memory, row_key, stored
 
-MEMO = 400_000
+MEMO = 300_000
 #: Characters of a word that the model sees whole; longer runs are several words to it.
 PIECE = 64
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡“”„’…"
@@ -36,8 +36,7 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡“”„’…"
 @dataclass(frozen=True)
 class Settings:
     """``most_toxic``, ``most_clean`` and ``most_bytes`` bound the labelled texts that are gathered for training, which
-    takes those with the least hash of their id. Passages are chosen anew by parameters of at most ``refresh`` steps ago;
-    the first pass takes ``first_words`` words of a text."""
+    takes those with the least hash of their id. Passages are chosen anew by parameters of at most ``refresh`` steps ago."""
 
     buckets: int = 1 << 17
     dim: int = 12
@@ -48,7 +47,6 @@ class Settings:
     batch: int = 32
     rate: float = 0.3
     refresh: int = 8
-    first_words: int = 256
     most_toxic: int = 2000
     most_clean: int = 4000
     most_bytes: int = 40 << 20
@@ -142,13 +140,10 @@ def train(texts: list[str], toxic: np.ndarray, share: float, s: Settings = Setti
                 odds_of = np.add.reduceat((emb @ (out[:, 1] - out[:, 0]))[flat], first[:-1]) / size
             x, picked = np.zeros((len(lot), s.dim)), []
             for k, d in enumerate(docs[i] for i in lot):
-                if len(d) > s.width:
-                    if epoch:
-                        total = np.concatenate(([0.0], np.cumsum(odds_of[d])))
-                        at = int(np.argmax(total[s.width :] - total[: -s.width]))
-                        d = d[at : at + s.width]
-                    else:
-                        d = rng.choice(d, min(len(d), s.first_words), replace=False)
+                if epoch and len(d) > s.width:
+                    total = np.concatenate(([0.0], np.cumsum(odds_of[d])))
+                    at = int(np.argmax(total[s.width :] - total[: -s.width]))
+                    d = d[at : at + s.width]
                 own = [flat[first[w] : first[w + 1]] for w in d]
                 if epoch and toxic[lot[k]]:
                     own = [np.array(buckets_of(misspelt(names[w], rng), s), np.int32) if rng.random() < 0.3 else b for w, b in zip(d, own, strict=True)]
@@ -192,7 +187,7 @@ class WordOdds(dict):
         else:
             b = buckets_of(word, self.settings)
             out = float(self.weight[b].sum()) / len(b)
-        if len(self) < MEMO:
+        if len(self) < MEMO and len(word) <= MEMO_WORD:
             self[word] = out
         return out
 
@@ -241,20 +236,24 @@ def fitted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mode
     return train(rows["text"].to_pylist(), (rows["toxic"].to_numpy() > 0).astype(np.int64), share, s)
 
 
-_held: dict[str, WordOdds] = {}
+def _scores(texts: pa.Array, name: str, data) -> np.ndarray:
+    words = memory("toxicity", name, make=lambda: WordOdds(data.value))
+    model = data.value
+    logit = np.array([odds(t.as_py() or "", words, model.bias, model.settings.width) for t in texts], float)
+    return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], name: str, data) -> Iterator[pa.RecordBatch]:
-    if name not in _held:
-        _held.clear()
-        _held[name] = WordOdds(data.value)
-    words, model = _held[name], data.value
     for b in batches:
-        logit = np.array([odds(t.as_py() or "", words, model.bias, model.settings.width) for t in b.column("text")], float)
-        out = {c: b.column(c) for c in ("doc_id", "row_key", "held_out")} | {"score": pa.array(1 / (1 + np.exp(-np.clip(logit, -60, 60))))}
+        out = {c: b.column(c) for c in ("doc_id", "row_key", "held_out")} | {"score": pa.array(_scores(b.column("text"), name, data))}
         yield pa.RecordBatch.from_pydict(out)
 
 
+def _clean(batches: Iterator[pa.RecordBatch], name: str, data) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array(_scores(b.column("text"), name, data) < data.value.settings.threshold))
+
+
 def scored(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, row_key, held_out, score (0 to 1), predicted (1 if score >= threshold, else 0): one row per row of
     ``docs``, of which doc_id, text and source are read (source for row_key alone) and other columns aren't.
@@ -264,5 +263,11 @@ def scored(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Data
     """
     data = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, s))  # one number a bucket
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), held_out().alias("held_out"), "text")
-    out = cols.mapInArrow(partial(_scored, name=uuid.uuid4().hex, data=data), "doc_id long, row_key long, held_out boolean, score double")
+    out = in_arrow(cols, partial(_scored, name=uuid.uuid4().hex, data=data), "doc_id long, row_key long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= s.threshold).cast("int"))
+
+
+def clean_rows(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` whose score is under the threshold, with all their columns, in one pass; see `scored`."""
+    data = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, s))
+    return in_arrow(docs, partial(_clean, name=uuid.uuid4().hex, data=data), docs.schema)
