@@ -21,18 +21,20 @@ from pyspark.sql import functions as F
 from .common import in_arrow, row_key, stored, with_values
 
 SYMBOLS = b"#*$%&|<>"
+#: Frequent lines (8 bytes each) that are sent to every task at most, and tasks that the rows of one meet beyond that.
+BROADCAST_LINES, SALTS = 500_000, 32
 
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is frequent in a host when more than ``min_docs`` documents and more than ``percent`` of the host's
-    documents (counting each text once) have it. A document is depleted when under ``left_percent`` of its words are
-    outside frequent lines."""
+    """A line is frequent in a host when more than ``min_docs`` of its documents (counting each text once) have it, and,
+    where ``percent`` is set, more than that share of them; without it the limit is the same for hosts of all sizes. A
+    document is depleted when under ``left_percent`` of its words are outside frequent lines."""
 
     min_words: int = 50
     repeat_percent: int = 50
     min_docs: int = 20
-    percent: int = 10
+    percent: int = 0
     left_percent: int = 30
 
 
@@ -100,11 +102,19 @@ def _judged(docs: DataFrame, limits: Limits) -> DataFrame:
     cols = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), host.alias("host"), F.xxhash64("text").alias("text_hash"), "text")
     seen = stored(in_arrow(cols, _describe, SCHEMA), "quality")
     once = seen.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
-    n_docs = once.groupBy("host").agg(F.count("*").alias("host_docs"))
     counts = once.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limits.min_docs)
-    frequent = counts.join(n_docs, "host").filter(F.col("n_docs") * 100 > F.col("host_docs") * limits.percent).select("host", "h")
-    each = seen.select("rid", "host", F.explode("lines").alias("line")).select("rid", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    removed = each.join(frequent, ["host", "h"]).groupBy("rid").agg(F.sum("w").alias("removed_words"), F.collect_list("h").alias("frequent"))  # a text's own lines
+    if limits.percent:
+        n_docs = once.groupBy("host").agg(F.count("*").alias("host_docs"))
+        counts = counts.join(n_docs, "host").filter(F.col("n_docs") * 100 > F.col("host_docs") * limits.percent)
+    key = F.xxhash64("host", "h").alias("key")
+    frequent = stored(counts.select(key), "frequent-lines")
+    each = seen.select("rid", "host", F.explode("lines").alias("line")).select("rid", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w")).select("rid", "h", "w", key)
+    if frequent.count() <= BROADCAST_LINES:
+        each = each.join(F.broadcast(frequent), "key")
+    else:  # every key here is a hot one, so its rows are dealt to SALTS tasks
+        salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        each = each.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    removed = each.groupBy("rid").agg(F.sum("w").alias("removed_words"), F.collect_list("h").alias("frequent"))  # a text's own lines
     out = seen.drop("lines").join(removed, "rid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < limits.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * limits.repeat_percent)
     enough = (F.col("n_words") - F.col("removed_words")) * 100 >= F.col("n_words") * limits.left_percent

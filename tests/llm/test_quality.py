@@ -82,3 +82,16 @@ def test_cleaned_gives_kept_rows_without_their_frequent_lines(docs_of, spark):
     assert texts[500] == "\n" + " ".join(f"É{i}" for i in range(60)) + "\nlast"
     stage = dict(corpus_pipeline.STAGES)["quality rules"](spark, docs, SF)
     assert sorted((str(r.doc_id), r.text) for r in stage.collect()) == sorted((str(r.doc_id), r.text) for r in got)
+
+
+def test_limit_does_not_grow_with_the_host(docs_of):
+    rng = "abcdefghijklmnopqrst"
+    words = lambda i: " ".join(f"{rng[i % 20]}{i}x{j}" for j in range(60))
+    data = [(i, f"{words(i)}\n{LINE}" if i < 21 else words(i), "hot") for i in range(400)]
+    assert {r.doc_id for r in quality.verdicts(docs_of(data)).collect() if r.removed_words} == set(range(21))
+    assert not [r for r in quality.verdicts(docs_of(data[1:])).collect() if r.removed_words]
+
+
+def test_many_frequent_lines_are_joined_with_salt(docs_of, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
+    assert sorted_rows(quality.verdicts(docs_of(rows(), 7)).drop("row_key")) == brute(rows())
