@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ def memory(*key, make: Callable[[], Any]) -> Any:
     reused worker still holds of another one goes, so that memories don't add up over a pipeline."""
     if key not in _memory:
         _memory.clear()
+        pa.default_memory_pool().release_unused()
         _memory[key] = make()
     return _memory[key]
 

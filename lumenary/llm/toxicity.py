@@ -144,11 +144,14 @@ def train(texts: list[str], toxic: np.ndarray, share: float, s: Settings = Setti
                     total = np.concatenate(([0.0], np.cumsum(odds_of[d])))
                     at = int(np.argmax(total[s.width :] - total[: -s.width]))
                     d = d[at : at + s.width]
+                n, times = max(s.width, len(d)), np.ones(len(d))
+                if not epoch:  # a whole text: each of its words once, by how often it is there
+                    d, times = np.unique(d, return_counts=True)
                 own = [flat[first[w] : first[w + 1]] for w in d]
                 if epoch and toxic[lot[k]]:
                     own = [np.array(buckets_of(misspelt(names[w], rng), s), np.int32) if rng.random() < 0.3 else b for w, b in zip(d, own, strict=True)]
-                rows = np.concatenate(own)
-                weight = np.repeat([1 / len(b) / max(s.width, len(own)) for b in own], [len(b) for b in own])
+                rows, lens = np.concatenate(own), np.array([*map(len, own)])
+                weight = np.repeat(times / lens / n, lens)
                 x[k] = weight @ emb[rows]
                 picked.append((rows, weight))
             logits = x @ out + bias
@@ -209,6 +212,12 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _trained(batches: Iterator[pa.RecordBatch], share: float, s: Settings) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(batches).sort_by("doc_id")
+    m = train(rows["text"].to_pylist(), (rows["toxic"].to_numpy() > 0).astype(np.int64), share, s)
+    yield pa.RecordBatch.from_pydict({"weight": pa.array([m.weight.tobytes()], pa.binary()), "bias": pa.array([m.bias])})
+
+
 def fitted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """The model of the labelled documents that are not held out: a bounded number of them, see Settings.
 
@@ -232,8 +241,10 @@ def fitted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mode
     if not ids:
         return train([], np.zeros(0, np.int64), share, s)
     kept = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, of long"))
-    rows = found.withColumn("of", F.xxhash64("text")).join(kept, ["doc_id", "of"]).dropDuplicates(["doc_id", "of"]).select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    return train(rows["text"].to_pylist(), (rows["toxic"].to_numpy() > 0).astype(np.int64), share, s)
+    rows = found.withColumn("of", F.xxhash64("text")).join(kept, ["doc_id", "of"]).dropDuplicates(["doc_id", "of"]).select("doc_id", "text", "toxic")
+    # most_bytes of text at most meet in one task, so that the driver needs no memory for them
+    got = in_arrow(rows.repartition(1), partial(_trained, share=share, s=s), "weight binary, bias double").first()
+    return Model(np.frombuffer(got.weight, float), got.bias, s)
 
 
 def _scores(texts: pa.Array, name: str, data) -> np.ndarray:

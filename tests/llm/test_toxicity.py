@@ -85,3 +85,30 @@ def test_all_of_a_long_run_counts():
         w = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(n))
         p = toxicity.pieces(f"«{w}»!", SMALL)
         assert set().union(*map(grams, map(toxicity.clean, p))) == grams(w) and max(map(len, map(toxicity.clean, p))) <= 64
+
+
+def test_scores_are_those_of_a_plain_computation(scored, spark, docs_of):
+    """Mean of the buckets of a word, sum over the worst 8 words by 8, bias, logistic."""
+    rows, labels, _ = scored
+    docs = [(d, t) for d, t in rows if d is not None][:60] + [(2000, "x" * 10_000), (2001, "x" * 9_999 + "y"), (2002, "same same same other other"), (2003, "«Mixed» CASE, words! " * 3)]
+    m = toxicity.fitted(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), SMALL)
+
+    def word(w):
+        w = w.strip(toxicity.MARKS)
+        grams = [f"<{w}>"] + [f"<{w}>"[i : i + n] for n in (3, 4, 5) for i in range(len(w) + 3 - n)]
+        return sum(m.weight[zlib.crc32(g.encode()) % SMALL.buckets] for g in grams) / len(grams)
+
+    def plain(text):
+        words = []
+        for w in (text or "").lower().split():
+            w = w.strip(toxicity.MARKS) if len(w) > 64 else w
+            words += [w[i : i + 64] for i in range(0, len(w) - 5, 59)] if len(w) > 64 else [w]
+        per = [word(w) for w in words]
+        per = [x for i, x in enumerate(per) if not i or x != per[i - 1]]
+        worst = max((sum(per[i : i + 8]) for i in range(max(1, len(per) - 7))), default=0.0)
+        return 1 / (1 + np.exp(-(worst / 8 + m.bias)))
+
+    data = spark.sparkContext.broadcast(m)
+    got = toxicity._scores(toxicity.pa.array([t for _, t in docs]), "plain", data)
+    assert np.allclose(got, [plain(t) for _, t in docs], atol=1e-9)
+    assert got[-4] != got[-3]
