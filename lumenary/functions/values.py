@@ -178,6 +178,8 @@ def compare(a: Attribute, op: str, literal) -> Column:
     if isinstance(t, FLOATING) and number:
         return _present(c, _floats(c.cast("double"), op, literal))
     if isinstance(t, T.DecimalType) and number:
+        if not abs(literal) < 1e28:  # infinite, not a number, or beyond the literal's 38 digits
+            return _present(c, _floats(c.cast("double"), op, float(literal)))
         return _present(c, _against(c, op, F.lit(Decimal(literal)).cast("decimal(38,10)")))
     if isinstance(t, T.BooleanType) and isinstance(literal, bool):
         return _present(c, _against(c, op, F.lit(literal)))
@@ -222,6 +224,13 @@ def group_key(a: Attribute) -> Column:
     )
 
 
+def unused(taken, name: str) -> str:
+    """A column name that isn't among those ``taken``, and begins none of them."""
+    while any(t.startswith(name) for t in taken):
+        name += "_"
+    return name
+
+
 def rounded_to_half(c: Column) -> Column:
     """A float array with its components rounded to IEEE half precision."""
     import numpy as np

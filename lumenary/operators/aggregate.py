@@ -14,17 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import INTEGRAL, Attribute, RequestError, group_key, kind_of
+from ..functions.values import INTEGRAL, Attribute, RequestError, group_key, kind_of, unused
 
 MAX_LABELS, MAX_KEYS, MAX_GROUPS = 16, 8, 10_000
 
 
 def _sum(a: Attribute | None) -> Column:
-    """Integers are added exactly, as decimals of 38 digits; with any float the sum is a double. No numbers: 0."""
+    """Integers are added exactly, as decimals of 38 digits; with any float the sum is a double, of whose parts those
+    that are integers are added exactly first. No numbers: 0."""
     if a is None:
         return F.lit(0)
     if isinstance(a.type, (*INTEGRAL, T.DecimalType)):
         return F.coalesce(F.sum(a.column.cast("decimal(38,0)") if isinstance(a.type, INTEGRAL) else a.column), F.lit(0))
+    if a.is_variant:
+        kind = kind_of(a.column)
+        of = lambda name, as_: F.sum(F.when(kind == name, F.try_variant_get(a.column, "$", as_)))
+        return F.coalesce(of("int", "decimal(38,0)").cast("double"), F.lit(0.0)) + F.coalesce(of("float", "double"), F.lit(0.0))
     number = a.number()
     if number is None:
         return F.lit(0)
@@ -79,13 +84,16 @@ def bucket(a: Attribute, width) -> Column:
     if isinstance(a.type, INTEGRAL) and isinstance(width, int):
         return a.column - F.pmod(a.column, F.lit(width))
     number = a.number()
-    return F.lit(None).cast("double") if number is None else F.floor(number / F.lit(float(width))) * F.lit(float(width))
+    if number is None:
+        return F.lit(None).cast("double")
+    ratio = number / F.lit(float(width))  # from 2**53 on it is whole, and floor's integers would end at 2**63
+    return F.when(F.abs(ratio) < F.lit(2.0**53), F.floor(ratio).cast("double")).otherwise(ratio) * F.lit(float(width))
 
 
-def _keys(df: DataFrame, group_by: Sequence) -> tuple[DataFrame, list[str]]:
+def _keys(df: DataFrame, group_by: Sequence) -> tuple[DataFrame, list[str], list[str]]:
     if not 1 <= len(group_by) <= MAX_KEYS:
         raise RequestError(f"group_by has 1 to {MAX_KEYS} keys")
-    names, exploded, taken = [], None, set(df.columns)
+    names, exploded, own = [], None, unused(df.columns, "_key_")
     added: dict[str, Column] = {}
     for k in group_by:
         if isinstance(k, str):
@@ -106,12 +114,12 @@ def _keys(df: DataFrame, group_by: Sequence) -> tuple[DataFrame, list[str]]:
         if name in names:
             raise RequestError("group_by has each name once")
         names.append(name)
-        added[f"_key_{len(names)}"] = key
-    out = df.withColumns({k: v for k, v in added.items() if k not in taken})
+        added[f"{own}{len(names)}"] = key
+    out = df.withColumns(added)
     if exploded:
-        at = f"_key_{names.index(exploded) + 1}"
+        at = f"{own}{names.index(exploded) + 1}"
         out = out.withColumn(at, F.explode_outer(F.array_distinct(at)))  # empty and absent arrays: one row of NULL
-    return out, names
+    return out, names, [*added]
 
 
 def aggregate(df: DataFrame, aggregate_by: Mapping[str, Sequence], group_by: Sequence | None = None, top_k: int = 10) -> DataFrame:
@@ -123,8 +131,7 @@ def aggregate(df: DataFrame, aggregate_by: Mapping[str, Sequence], group_by: Seq
         raise RequestError(f"top_k is from 1 to {MAX_GROUPS}")
     if not group_by:
         return df.agg(*[measure(df, s).alias(label) for label, s in aggregate_by.items()])
-    keyed, names = _keys(df, group_by)
-    keys = [f"_key_{i + 1}" for i in range(len(names))]
+    keyed, names, keys = _keys(df, group_by)
     out = keyed.groupBy(*keys).agg(*[measure(df, s).alias(label) for label, s in aggregate_by.items()])
     out = out.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).limit(top_k)
     return out.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[F.col(f"`{x}`") for x in aggregate_by])

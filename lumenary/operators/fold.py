@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import RequestError, holds
+from ..functions.values import RequestError, holds, unused
 
 BOUND = 100_000
 OPS = ("upsert", "patch", "delete")
@@ -25,22 +25,27 @@ def latest(log: DataFrame, attributes: Sequence[str], id_column: str = "id", vec
     A patch changes the attributes that it names (NULL unsets) and never a vector; one of an id without a version, or
     after its delete, does nothing. A hot id costs one state of its attributes in each task.
     """
-    whole = F.col("op").isin("upsert", "delete")
+    whole, of = F.col("op").isin("upsert", "delete"), unused(log.columns, "_of")
     base = F.max_by(F.struct("op", "pos", *[F.col(f"`{a}`") for a in attributes]), F.when(whole, F.col("pos")))
-    aggs = [base.alias("_base")]
+    aggs = [base.alias(of)]
     patched = [a for a in attributes if a not in vectors]
     for i, a in enumerate(patched):
         names = (F.col("op") == "patch") & F.array_contains("fields", a)
-        aggs.append(F.max_by(F.struct("pos", F.col(f"`{a}`").alias("v")), F.when(names, F.col("pos"))).alias(f"_p{i}"))
-    got = log.groupBy(id_column).agg(*aggs).filter(F.col("_base.op") == "upsert")
-    newer = {a: F.col(f"_p{i}.pos") > F.col("_base.pos") for i, a in enumerate(patched)}
-    cols = [F.when(holds(newer[a]), F.col(f"_p{i}.v")).otherwise(F.col(f"_base.`{a}`")).alias(a) for i, a in enumerate(patched)]
-    cols += [F.col(f"_base.`{a}`").alias(a) for a in vectors]
-    pos = F.greatest(F.col("_base.pos"), *[F.when(newer[a], F.col(f"_p{i}.pos")) for i, a in enumerate(patched)]) if patched else F.col("_base.pos")
+        aggs.append(F.max_by(F.struct("pos", F.col(f"`{a}`").alias("v")), F.when(names, F.col("pos"))).alias(f"{of}{i}"))
+    got = log.groupBy(id_column).agg(*aggs).filter(F.col(f"{of}.op") == "upsert")
+    newer = {a: F.col(f"{of}{i}.pos") > F.col(f"{of}.pos") for i, a in enumerate(patched)}
+    cols = [F.when(holds(newer[a]), F.col(f"{of}{i}.v")).otherwise(F.col(f"{of}.`{a}`")).alias(a) for i, a in enumerate(patched)]
+    cols += [F.col(f"{of}.`{a}`").alias(a) for a in vectors]
+    pos = _latest_of(F.col(f"{of}.pos"), [F.when(newer[a], F.col(f"{of}{i}.pos")) for i, a in enumerate(patched)])
     out = got.select(F.col(id_column), *cols, pos.alias("pos"))
     return out.select(id_column, *[F.col(f"`{a}`") for a in attributes], "pos")
 
 
+def _latest_of(base: Column, others: Sequence[Column]) -> Column:
+    """The largest of some positions, which may be structs; those that are NULL don't count."""
+    return F.array_max(F.array_compact(F.array(base, *others)))
+
+
 def as_log(state: DataFrame) -> DataFrame:
     """A state's rows as upserts, to fold further operations onto."""
     return state.withColumns({"op": F.lit("upsert"), "fields": F.array().cast("array<string>")})
@@ -57,12 +62,13 @@ def admitted(state: DataFrame, batch: DataFrame, condition: Callable[[DataFrame,
 
     A request names an id once for each kind of operation.
     """
-    new = batch.select(F.col(id_column), *[F.col(f"`{c}`").alias(f"_new_{c}") for c in batch.columns if c != id_column])
-    both = state.withColumn("_here", F.lit(True)).join(new, id_column, "right")
-    test = condition(both, lambda name: F.col(f"`_new_{name}`") if f"_new_{name}" in both.columns else F.lit(None))
-    missing = F.col("_here").isNull()
-    kept = both.filter((missing & (F.col("_new_op") == "upsert")) | (~missing & holds(test)))
-    return kept.select(id_column, *[F.col(f"`_new_{c}`").alias(c) for c in batch.columns if c != id_column])
+    pre, here = unused(state.columns, "_new_"), unused((*state.columns, *batch.columns), "_here")
+    new = batch.select(F.col(id_column), *[F.col(f"`{c}`").alias(f"{pre}{c}") for c in batch.columns if c != id_column])
+    both = state.withColumn(here, F.lit(True)).join(new, id_column, "right")
+    test = condition(both, lambda name: F.col(f"`{pre}{name}`") if f"{pre}{name}" in both.columns else F.lit(None))
+    missing = F.col(here).isNull()
+    kept = both.filter((missing & (F.col(f"{pre}op") == "upsert")) | (~missing & holds(test)))
+    return kept.select(id_column, *[F.col(f"`{pre}{c}`").alias(c) for c in batch.columns if c != id_column])
 
 
 def by_filter(state: DataFrame, test: Column, kind: str, changes: dict[str, Column] | None, pos: int, allow_partial: bool = False, bound: int = BOUND, id_column: str = "id") -> DataFrame:

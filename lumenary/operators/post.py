@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from ..functions.values import INSTANTS, Attribute, RequestError, compare, group_key, instant, parse_instant
+from ..functions.values import INSTANTS, Attribute, RequestError, compare, group_key, instant, parse_instant, unused
 
 MAX_TERMS, MAX_WINDOW = 8, 1000
 
@@ -97,14 +97,14 @@ def boosted(df: DataFrame, terms: Sequence[dict]) -> DataFrame:
 
 def _mmr(pdf: pd.DataFrame, vector: str, weight: float) -> pd.DataFrame:
     """Greedy order: weight times relevance (scaled to 0..1) less (1 - weight) times the largest cosine to what stands
-    before; ties to the earlier candidate."""
+    before; ties to the earlier candidate. Vectors of another width than the first one's are like none."""
     pdf = pdf.sort_values("rank").reset_index(drop=True)
     n = len(pdf)
     rel = pdf["score"].to_numpy(float)
     spread = rel.max() - rel.min() if n else 0.0
     rel = (rel - rel.min()) / spread if spread > 0 else np.ones(n)
-    width = max((len(v) for v in pdf[vector] if v is not None), default=1)
-    v = np.stack([np.zeros(width) if x is None else np.asarray(x, float) for x in pdf[vector]]) if n else np.zeros((0, width))
+    width = next((len(v) for v in pdf[vector] if v is not None), 1)
+    v = np.stack([np.zeros(width) if x is None or len(x) != width else np.asarray(x, float) for x in pdf[vector]]) if n else np.zeros((0, width))
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
     left, near, order = np.ones(n, bool), np.full(n, -np.inf), []
@@ -141,4 +141,5 @@ def limited(df: DataFrame, attributes: Sequence[str], limit: int) -> DataFrame:
         raise RequestError(f"limit_per takes 1 to {MAX_TERMS} attributes and a limit of 1 at least")
     keys = [group_key(a) if (a := Attribute.of(df, n)) is not None else F.lit(None).cast("string") for n in attributes]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))
-    return df.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+    name = unused(df.columns, "_place")
+    return df.withColumn(name, place).filter(F.col(name) <= limit).drop(name)

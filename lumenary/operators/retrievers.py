@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.text import Analyzer
-from ..functions.values import RequestError
+from ..functions.values import RequestError, unused
 
 #: Below so many rows a search is exact, without clusters.
 EXACT_BELOW = 25_000
@@ -206,11 +206,12 @@ class Clusters:
         from pyspark.ml.functions import array_to_vector
 
         unit = self._unit(F.col(self.vector)) if self.metric == "cosine_distance" else F.col(self.vector).cast("array<double>")
-        rows = df.filter(F.size(self.vector) > 0).withColumn("_features", array_to_vector(unit))
+        own = unused(df.columns, "_features")
+        rows = df.filter(F.size(self.vector) > 0).withColumn(own, array_to_vector(unit))
         n = rows.count()
         some = rows.sample(min(1.0, sample / n), seed) if n > sample else rows
-        model = KMeans(k=max(1, min(lists, n)), seed=seed, featuresCol="_features", predictionCol="list_id", maxIter=15).fit(some.select("_features"))
-        model.transform(rows).drop("_features").repartition("list_id", F.pmod(F.xxhash64(*df.columns[:1]), F.lit(4))).write.mode("overwrite").partitionBy("list_id").parquet(f"{self.path}/rows")
+        model = KMeans(k=max(1, min(lists, n)), seed=seed, featuresCol=own, predictionCol="list_id", maxIter=15).fit(some.select(own))
+        model.transform(rows).drop(own).repartition("list_id", F.pmod(F.xxhash64(*df.columns[:1]), F.lit(4))).write.mode("overwrite").partitionBy("list_id").parquet(f"{self.path}/rows")
         centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         self.spark.createDataFrame(centres, "list_id int, centre array<double>").write.mode("overwrite").parquet(f"{self.path}/centres")
 

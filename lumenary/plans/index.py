@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.text import Analyzer
-from ..functions.values import RequestError
+from ..functions.values import RequestError, unused
 from ..operators import aggregate, fusion, ordering, post, projection, retrievers
 from ..operators.expressions import Expressions, ranked
 from ..operators.predicates import Filters
@@ -94,8 +94,9 @@ class Index:
         if q.get("multi") is not None:
             m = q["multi"]
             if m.get("mode") == "fde":
-                enc = rows.withColumn("_encoded", self.encoding.column(F.col(m["field"])))
-                out.append(("multi", retrievers.multi_encoded(enc, "_encoded", m["field"], m["vectors"], self.encoding, m.get("rerank_window") if m.get("rerank") == "exact" else None)))
+                own = unused(rows.columns, "_encoded")
+                enc = rows.withColumn(own, self.encoding.column(F.col(m["field"])))
+                out.append(("multi", retrievers.multi_encoded(enc, own, m["field"], m["vectors"], self.encoding, m.get("rerank_window") if m.get("rerank") == "exact" else None)))
             else:
                 out.append(("multi", retrievers.multi(rows, m["field"], m["vectors"])))
         for field, query, prefix in self._text_legs(q["text"]) if q.get("text") is not None else ():
@@ -151,7 +152,8 @@ class Index:
         how = fusion.Fusion.parse(q.get("fusion"), [k for k, _ in legs])
         fused = fusion.fuse([leg for _, leg in legs], how, window)
         cut = fusion.top(fused, window)
-        out = self.rows.join(F.broadcast(cut), "id")  # at most ``window`` ids, 10,000
+        # at most ``window`` ids, 10,000; the ranking's own columns hide attributes of their names
+        out = self.rows.drop("score", "rank", "dist").join(F.broadcast(cut), "id")
         order = [F.col("score").desc(), F.col("id").asc()]
         if q.get("boost"):
             out = post.boosted(out, q["boost"])

@@ -171,3 +171,33 @@ def test_exports(spark, tmp_path):
     assert pages == 3 and got.count() == 25 and dict(got.dtypes) == {"id": "string", "n": "bigint", "xs": "string", "at": "timestamp", "f": "double"}
     with pytest.raises(RequestError):
         tables.export_page(d, f"{tmp_path}/x", None, 5000, with_vectors=True)
+
+
+def test_batches_with_several_operations_of_an_id(spark, store):
+    """Random logs through append, visible and fold, against operations one after another."""
+    rng, done = random.Random(12), []
+    columns = "id string, op string, pos long, fields array<string>, a long, b string, vector array<float>"
+    for epoch in (1, 2, 1_000_000):
+        batches = []
+        for lane, seq in ((0, 0), (0, 5), (2, 1)):
+            batch = []
+            for pos in range(120):
+                op = rng.choices(["upsert", "patch", "delete"], [3, 5, 1])[0]
+                fields = rng.choice([["a"], ["b"], ["a", "b"]]) if op == "patch" else []
+                batch.append((f"d{rng.randint(0, 25)}", op, pos, fields, rng.choice([None, rng.randint(0, 99)]), rng.choice([None, "x", "y"]), [float(pos)]))
+            batches.append((lane, seq, batch))
+        for lane, seq, batch in rng.sample(batches, 3):  # written in any order
+            log = spark.createDataFrame(rng.sample(batch, len(batch)), columns).withColumn("key", F.lit(None).cast("string")).repartition(3)
+            store.append(epoch, log, lane, seq)
+        for x in (x for _, _, batch in batches for x in batch):
+            done.append((*x[:2], len(done), *x[3:]))
+        out = store.fold(epoch)
+        assert {r.id: (r.a, r.b, r.vector) for r in out.collect()} == model(done)
+        assert {r.pos for r in out.collect()} <= {1, 2, 1_000_000}
+    assert state(store.write(1_000_001, patches=rows(spark, [("d1", 77)], "id string, a long"), upserts=rows(spark, [("d1", 5, "new")])))["d1"] == (77, "new")
+
+
+def test_equal_positions_go_by_kind_then_row(spark, store):
+    ups = store.ops(rows(spark, [("x", 1, "p"), ("x", 2, "q")]).coalesce(1), "upsert")
+    store.append(1, store.ops(rows(spark, [("x", 9)], "id string, a long"), "patch", ["a"]).unionByName(ups))
+    assert state(store.visible()) == {"x": (2, "q")} and state(store.fold(1)) == {"x": (9, "q")}
