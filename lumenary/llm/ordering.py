@@ -20,16 +20,18 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_arrow, shared_dir, stored
-from .tokens import ids_of, vocabulary
+from .tokens import ids_of, tokenizer, vocabulary
 
 U = np.uint64
 END = (0).to_bytes(4, "little")
-#: Ids are below 2**16 in the vocabularies of fewer than 65,536 entries.
-ID = np.dtype("<u2")
+#: Of an id in a record, for vocabularies of at most 65,536 entries and for larger ones.
+ID, WIDE = np.dtype("<u2"), np.dtype("<u4")
+#: Parts of the table whose counts are added up together, and parts whose places every task gets at most.
+GROUP, BROADCAST_PARTS = 4096, 2_000_000
 #: Shards that a task writes, about, however many there are.
 TASK_SHARDS = 4
 
@@ -59,14 +61,14 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], path: str, seq_len: int) -> Iterator[pa.RecordBatch]:
+def _sequences(batches: Iterator[pa.RecordBatch], path: str, seq_len: int, dtype: str) -> Iterator[pa.RecordBatch]:
     """part, k, n_tokens, doc_ids and the ids, compressed, of each sequence of this part of the table."""
     of, pack, part, k = ids_of(path), zstandard.ZstdCompressor(3), TaskContext.get().partitionId(), 0
     rest, docs, rows = b"", [], []
     stride = seq_len * 4
 
     def row(cut: bytes, ids: list) -> tuple:
-        return part, k, len(cut) // 4, ids, pack.compress(np.frombuffer(cut, "<u4").astype(ID).tobytes())
+        return part, k, len(cut) // 4, ids, pack.compress(np.frombuffer(cut, "<u4").astype(dtype).tobytes())
 
     def batch(rows: list) -> pa.RecordBatch:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
@@ -93,9 +95,9 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, seq_len: int) -> It
         yield batch(rows)
 
 
-def _slots(batches: Iterator[pa.RecordBatch], first: dict[int, int], n: int, key: int, per_shard: int) -> Iterator[pa.RecordBatch]:
+def _slots(batches: Iterator[pa.RecordBatch], n: int, key: int, per_shard: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        at = np.array([first[p] for p in b.column("part").to_pylist()], np.int64) + b.column("k").to_numpy()
+        at = b.column("first").to_numpy() + b.column("k").to_numpy()
         slot = feistel(at, n, key)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(slot), "shard": pa.array(slot // per_shard)} | {c: b.column(c) for c in ("n_tokens", "doc_ids", "packed")})
 
@@ -104,11 +106,11 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def _write(batches: Iterator[pa.RecordBatch], to: str, seq_len: int, per_shard: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], to: str, seq_len: int, per_shard: int, dtype: str) -> Iterator[pa.RecordBatch]:
     """Write each shard under a name of this attempt and rename it when whole; rows come by shard and slot."""
     fs, base = _files(to)
     own = f"{TaskContext.get().taskAttemptId()}-{TaskContext.get().attemptNumber()}"
-    unpack, out, now, stride = zstandard.ZstdDecompressor(), None, None, seq_len * ID.itemsize
+    unpack, out, now, stride = zstandard.ZstdDecompressor(), None, None, seq_len * np.dtype(dtype).itemsize
 
     def close() -> None:
         if out is not None:
@@ -123,36 +125,51 @@ def _write(batches: Iterator[pa.RecordBatch], to: str, seq_len: int, per_shard:
                 now, out = shard, fs.open_output_stream(f"{base}/.{shard_name(shard)}-{own}")
             ids = unpack.decompress(data)
             out.write(ids.ljust(stride, b"\0"))
-            crcs.append(zlib.crc32(np.frombuffer(ids, ID).astype("<u4").tobytes()))
+            crcs.append(zlib.crc32(np.frombuffer(ids, dtype).astype("<u4").tobytes()))
         slot = b.column("slot").to_numpy()
         cols = {"slot": pa.array(slot), "shard": b.column("shard"), "byte_offset": pa.array(slot % per_shard * stride), "n_tokens": b.column("n_tokens"), "ids_crc32": pa.array(crcs, pa.int64()), "doc_ids": b.column("doc_ids")}
         yield pa.RecordBatch.from_pydict(cols)
     close()
 
 
+def _numbered(cut: DataFrame) -> tuple[DataFrame, int]:
+    """The sequences with ``first``, how many those of the parts before theirs are, and how many there are in all. Sums
+    over GROUP parts at a time reach the driver; those within a group are a window's."""
+    counts = stored(cut.groupBy("part").agg(F.count("*").alias("n")).withColumn("grp", F.floor(F.col("part") / GROUP)), "sequence-counts")
+    bases, total = [], 0
+    for r in sorted(counts.groupBy("grp").agg(F.sum("n").alias("n")).collect()):
+        bases.append((r.grp, total))
+        total += r.n
+    before = F.sum("n").over(Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    based = counts.join(F.broadcast(cut.sparkSession.createDataFrame(bases, "grp long, base long")), "grp")
+    first = based.select("part", (F.col("base") + F.coalesce(before, F.lit(0))).alias("first"))
+    if counts.count() <= BROADCAST_PARTS:
+        first = F.broadcast(first)
+    return cut.join(first, "part"), total
+
+
 def materialise(docs: DataFrame, to: str, seq_len: int = 2048, key: int = 42, per_shard: int = 8192, path: str | None = None) -> DataFrame:
     """Write the sequences of ``docs`` in training order to the folder ``to`` (a URI that all executors reach) and
     return slot, shard, byte_offset, n_tokens, ids_crc32 (of unsigned little-endian 32-bit ids), doc_ids: a row a
-    sequence. The last sequence of a part of the table may be shorter than ``seq_len``; its record is filled with 0.
+    sequence. Ids have 16 bits where the vocabulary allows it, else 32. The last sequence of a part of the table may be shorter than ``seq_len``; its record is filled with 0.
 
     Reads doc_id and text alone. A null or empty text is the end id alone. Repeated rows are written as often as they
     are there. An empty table writes index.json alone. index.json has what a reader needs.
     """
     spark, path = docs.sparkSession, path or vocabulary()
+    dtype = (ID if tokenizer(path).get_vocab_size() <= 1 << 16 else WIDE).str
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = stored(in_arrow(cols, partial(_sequences, path=path, seq_len=seq_len), "part long, k long, n_tokens long, doc_ids array<long>, packed binary"), "sequences")
-    first, n = {}, 0
-    for r in sorted(cut.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row a part of the table
-        first[r.part], n = n, n + r.n
+    cut = stored(in_arrow(cols, partial(_sequences, path=path, seq_len=seq_len, dtype=dtype), "part long, k long, n_tokens long, doc_ids array<long>, packed binary"), "sequences")
+    numbered, n = _numbered(cut)
     fs, base = _files(to)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/index.json") as f:
-        f.write(json.dumps({"n": n, "seq_len": seq_len, "per_shard": per_shard, "dtype": ID.str, "key": key, "n_shards": -(-n // per_shard)}).encode())
-    placed = in_arrow(cut, partial(_slots, first=first, n=n, key=key, per_shard=per_shard), "slot long, shard long, n_tokens long, doc_ids array<long>, packed binary")
+        f.write(json.dumps({"n": n, "seq_len": seq_len, "per_shard": per_shard, "dtype": dtype, "key": key, "n_shards": -(-n // per_shard)}).encode())
+    placed = in_arrow(numbered, partial(_slots, n=n, key=key, per_shard=per_shard), "slot long, shard long, n_tokens long, doc_ids array<long>, packed binary")
     shards = max(1, -(-n // per_shard))
     tasks = max(min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-shards // TASK_SHARDS))
     dealt = placed.repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
-    written = in_arrow(dealt, partial(_write, to=to, seq_len=seq_len, per_shard=per_shard), "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>")
+    written = in_arrow(dealt, partial(_write, to=to, seq_len=seq_len, per_shard=per_shard, dtype=dtype), "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>")
     return stored(written, "manifest")
 
 

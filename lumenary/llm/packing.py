@@ -1,9 +1,9 @@
 """Best-fit packing of documents into sequences by hierarchical residual packing.
 
 Each part of the table packs its own pieces best-fit, longest first, and hands out the sequences that are nearly full.
-The others become single items of a next round over fewer, larger parts, which merges what fits together; after the
-last round all are handed out. A row is a sequence with its pieces, at most ``seq_len`` of them, so nothing grows with
-the table, and no round puts more than ``PART`` items in one task.
+The others become single items of a next round over fewer parts, which merges what fits together, and so on up a tree
+until the rest is one part or no longer shrinks. A row is a sequence with its pieces, at most ``seq_len`` of them, so
+nothing grows with the table, and no round puts more than ``PART`` items in one task, or ``MERGED`` sequences.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ from .tokens import IdBytes, ids_of, vocabulary
 
 END = (0).to_bytes(4, "little")
 PART = 65_536
-#: Rounds after the first, by the items that a task takes at least.
-ROUNDS = (16_384, PART)
+MERGED = 32_768
 FULL_PERCENT = 99
 
 ITEM = "struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long,ids:binary>"
@@ -110,7 +109,7 @@ def _merge(batches: Iterator[pa.RecordBatch], seq_len: int, round_: int) -> Iter
     for b in batches:
         for items in b.column("items").to_pylist():
             held.append(items)
-            if len(held) >= PART:
+            if len(held) >= MERGED:
                 yield packed()
                 held = []
     if held:
@@ -129,14 +128,15 @@ def pack(docs: DataFrame, seq_len: int = 2048, path: str | None = None, keep_ids
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     at = stored(in_arrow(cols, partial(_first, path=path, seq_len=seq_len, keep_ids=keep_ids), SCHEMA), "packed")
     full = F.col("fill") * 100 >= seq_len * FULL_PERCENT
-    done = None
-    for k, part in enumerate(ROUNDS):
-        ended = at.filter(full)
+    done, k = None, 0
+    while True:
+        ended, rest, k = at.filter(full), at.filter(~full), k + 1
         done = ended if done is None else done.unionByName(ended)
-        rest = at.filter(~full)
-        n = max(2, -(-rest.count() // part))
-        at = stored(in_arrow(rest.repartition(n), partial(_merge, seq_len=seq_len, round_=k + 1), SCHEMA), "packed")
-    return done.unionByName(at)
+        n = rest.count()
+        parts = -(-n // MERGED) or 1
+        at = stored(in_arrow(rest.repartition(parts), partial(_merge, seq_len=seq_len, round_=k), SCHEMA), "packed")
+        if parts == 1 or at.count() * 1000 > n * 999:  # one part, or sequences that don't fit together
+            return done.unionByName(at)
 
 
 def packed_pieces(docs: DataFrame, seq_len: int = 2048, path: str | None = None) -> DataFrame:

@@ -84,16 +84,18 @@ def output_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/document-shards-{uuid.uuid4().hex}"
 
 
-LIMIT_BYTES = 64 << 20
+#: Of the registered query's shards: small enough that its directory splits at every size of the tables. A production
+#: run passes its own, as 256 MB.
+LIMIT_BYTES = 256 << 10
 
 SQL = f"""
 WITH keys AS (
-  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')), 1, 15) AS BIGINT) AS h
   FROM documents),
 levels AS (
-  SELECT k.doc_id, k.n_bytes, k.h, d, sum(k.n_bytes) OVER (PARTITION BY d, k.h >> ({BITS} - d)) AS b
-  FROM keys k, range(0, 25) r(d)),
-least AS (SELECT doc_id, n_bytes, h, min(d) AS depth FROM levels WHERE b <= {LIMIT_BYTES} GROUP BY ALL)
-SELECT doc_id, n_bytes, substr(lpad(format('{{:b}}', h), {BITS}, '0'), 1, depth::INT) AS shard, depth::INT AS depth, false AS oversized FROM least
+  SELECT rid, doc_id, n_bytes, h, d, sum(n_bytes) OVER (PARTITION BY d, h >> ({BITS} - d)) AS b
+  FROM keys, range(0, {BITS + 1}) r(d)),
+least AS (SELECT rid, doc_id, n_bytes, h, min(d) AS depth, arg_min(b, d) AS b FROM levels WHERE b <= {LIMIT_BYTES} OR d = {BITS} GROUP BY ALL)
+SELECT doc_id, n_bytes, substr(lpad(format('{{:b}}', h), {BITS}, '0'), 1, depth::INT) AS shard, depth::INT AS depth, b > {LIMIT_BYTES} AS oversized FROM least
 """

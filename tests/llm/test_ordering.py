@@ -62,3 +62,28 @@ def test_empty_table(docs_of, tmp_path):
 
 def test_query(spark):
     assert op8_token_shards(spark, SF).columns == ["slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "doc_ids"]
+
+
+def test_large_vocabularies_take_wider_ids(docs_of, tmp_path):
+    import json
+
+    from lumenary.llm.tokens import vocabulary
+
+    with open(vocabulary(), encoding="utf-8") as f:
+        model = json.load(f)
+    n = len(model["model"]["vocab"])
+    model["added_tokens"] += [{"id": n + 100 + i, "content": f"[extra{i}]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False} for i in range(70_000)]
+    with open(f"{tmp_path}/wide.json", "w", encoding="utf-8") as f:
+        json.dump(model, f)
+    docs = docs_of([(1, "some words [extra69999] here"), (2, "more words")], 1)
+    ordering.materialise(docs, f"file://{tmp_path}/out", seq_len=4, path=f"{tmp_path}/wide.json").count()
+    got = [x.tolist() for x in ordering.read_sequences(f"file://{tmp_path}/out")]
+    assert max(map(max, got)) >= 1 << 16
+
+
+def test_parts_are_numbered_without_gaps(docs_of, monkeypatch, tmp_path):
+    monkeypatch.setattr(ordering, "GROUP", 3)
+    monkeypatch.setattr(ordering, "BROADCAST_PARTS", 0)
+    out = ordering.materialise(docs_of([(i, f"text number {i} " * 5) for i in range(80)], 11), f"file://{tmp_path}/out", seq_len=16, per_shard=8)
+    slots = sorted(r.slot for r in out.collect())
+    assert slots == list(range(len(slots))) and len(slots) > 11

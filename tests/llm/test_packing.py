@@ -77,3 +77,19 @@ def test_ids_are_kept_where_asked_for(docs_of):
 
 def test_empty_table(docs_of):
     assert packing.packed_pieces(docs_of([(1, "a")]).limit(0)).count() == 0
+
+
+def test_parts_merge_up_a_tree(docs_of, monkeypatch):
+    """Many parts of few items each: what two rounds leave is merged on until one part is left."""
+    monkeypatch.setattr(packing, "MERGED", 24)
+    docs = docs_of([(i, " ".join(["word"] * (5 + i * 7 % 23))) for i in range(900)], 60)
+    got = packing.pack(docs, seq_len=100).collect()
+    assert sorted(x.doc_id for r in got for x in r["items"]) == list(range(900)) and all(r.fill == sum(x.length for x in r["items"]) <= 100 for r in got)
+    assert len(got) <= 1.06 * sum(r.fill for r in got) / 100
+    assert max(r.sequence_id >> 56 for r in got) > 2
+
+
+def test_sequences_that_never_fit_together_end_the_rounds(docs_of, monkeypatch):
+    monkeypatch.setattr(packing, "MERGED", 10)
+    docs = docs_of([(i, " ".join(["word"] * 60)) for i in range(50)], 8)
+    assert len(packing.pack(docs, seq_len=100).collect()) == 50
