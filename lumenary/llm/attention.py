@@ -26,9 +26,9 @@ class Shape:
     """Of the network: ``slots`` is a multiple of WIDTH."""
 
     slots: int = 1024
-    dim: int = 32
-    heads: int = 2
-    hidden: int = 64
+    dim: int = 16
+    heads: int = 1
+    hidden: int = 32
     stride: int = 16
 
     @property
@@ -85,16 +85,17 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, s: Shape)
     b, w = x.shape
     h, dh = s.heads, s.dim // s.heads
     scale = F32(dh**-0.5)
-    e = p["emb"][x].reshape(b * w, s.dim)
+    given = x.ravel()
     split = lambda m: m.reshape(b, w, h, dh).transpose(0, 2, 1, 3)
     join = lambda m: m.transpose(0, 2, 1, 3).reshape(b * w, s.dim)
-    q, k, v = (split(e @ p[n]) for n in "qkv")
+    by_slot = lambda name: (p["emb"] @ p[name]).take(given, 0)  # noqa: E731  # what depends on a slot alone
+    q, k, v = (split(by_slot(n)) for n in "qkv")
     gap = np.arange(w)[:, None] - np.arange(w)[None]
     causal = gap >= 0
     near = np.where(causal, gap, 0)
     att = _softmax(np.where(causal, q @ k.swapaxes(2, 3) * scale + p["dist"][:, near], F32(-1e9)))
     z = join(att @ v)
-    pre = e @ p["own"] + z @ p["seen"] + p["bias"]
+    pre = by_slot("own") + z @ p["seen"] + p["bias"]
     u = np.clip(pre, 0, MOST)
     u[:, -1] = 1
     real = np.flatnonzero(y.ravel() >= 0)
@@ -120,7 +121,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, s: Shape)
     dpre = np.zeros_like(pre)
     dpre[real] = du / n * ((pre[real] > 0) & (pre[real] < MOST))
     dpre[:, -1] = 0
-    g |= {"own": e.T @ dpre, "seen": z.T @ dpre, "bias": dpre.sum(0)}
+    g |= {"seen": z.T @ dpre, "bias": dpre.sum(0)}
     dz = split(dpre @ p["seen"].T)
     datt = dz @ v.swapaxes(2, 3)
     ds = att * (datt - (datt * att).sum(-1, keepdims=True))
@@ -130,15 +131,19 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, s: Shape)
         dist[:, d] = np.diagonal(by_gap, -d, 1, 2).sum(-1)
     g["dist"] = dist
     back = {"q": join(ds @ k * scale), "k": join(ds.swapaxes(2, 3) @ q * scale), "v": join(att.swapaxes(2, 3) @ dz)}
-    de = dpre @ p["own"].T
-    for name, m in back.items():
+    order = np.argsort(given.astype(np.uint16), kind="stable")
+    slots = given[order]
+    first = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
+    summed = np.add.reduceat(np.concatenate([*back.values(), dpre], 1).take(order, 0), first)
+    slots, to = slots[first], 0
+    e, de = p["emb"][slots], 0
+    for name in (*back, "own"):
+        m = summed[:, to : to + p[name].shape[1]]
+        to += m.shape[1]
         g[name] = e.T @ m
-        de += m @ p[name].T
-    at = x.ravel()
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))
+        de = de + m @ p[name].T
     g["emb"] = np.zeros_like(p["emb"])
-    g["emb"][at[order][first]] = np.add.reduceat(de[order], first)
+    g["emb"][slots] = de
     return float(loss / n), g
 
 
@@ -163,7 +168,7 @@ class Scorer:
     """Log-probabilities of the tokens of texts, with what depends on a slot alone looked up."""
 
     #: Blocks of ``stride`` tokens that are scored at once.
-    LOT = 128
+    LOT = 512
 
     def __init__(self, p: dict[str, np.ndarray], s: Shape):
         self.p, self.s, self.dh = p, s, s.dim // s.heads

@@ -30,12 +30,14 @@ from .common import in_arrow, memory, row_key, stored
 from .tokens import ranked, vocabulary
 
 #: Distinct words that a counting task holds, words that a scoring worker remembers, and words scored at once.
-HELD, MEMO, LOT_WORDS = 400_000, 400_000, 200_000
+HELD, MEMO, LOT_WORDS = 400_000, 300_000, 200_000
+#: Ids of the words that a scoring worker remembers.
+MEMO_IDS = 4_000_000
 #: Words whose counts go to every worker; those of others are joined.
 FREQUENT = 250_000
 #: Copies of the network that learn side by side at most, windows for each and round at least, and means that reach the
 #: driver at most.
-COPIES, COPY_WINDOWS, MEANS = 1024, 16_000, 32
+COPIES, COPY_WINDOWS, MEANS = 1024, 64_000, 32
 #: Windows that a task holds before it passes them on.
 LOT_WINDOWS = 50_000
 PAD = 0xFFFF
@@ -50,8 +52,8 @@ class Settings:
     least_tokens: int = 0
     rounds: int = 4
     passes: int = 6
-    batch: int = 32
-    rate: float = 0.02
+    batch: int = 128
+    rate: float = 0.03
     seed: int = 1
 
 
@@ -249,10 +251,10 @@ class Worker:
         self.number.update(zip(words, range(at, at + n), strict=True))
 
     def forget(self) -> None:
-        """Keep the first MEMO words."""
-        while len(self.number) > MEMO:
+        """Keep the first MEMO words, or fewer long ones: MEMO_IDS ids at most."""
+        while (n := len(self.number)) > MEMO or self.used > MEMO_IDS:
             self.number.popitem()
-        self.used = int(self.first[MEMO - 1] + self.size[MEMO - 1]) if len(self.number) == MEMO else self.used
+            self.used = int(self.first[n - 1])
 
     def scores(self, texts: list[bytes]) -> dict[str, list | np.ndarray]:
         """n_tokens, known, base and score of each text; base and known without the words in ``others``."""
@@ -270,20 +272,13 @@ class Worker:
         here, whole = count >= 0, log(m.tokens + 0.5 * (m.distinct + 1))
         base = total(np.where(here, np.log(np.maximum(count, 0) + 0.5) - whole, 0.0)) + log(m.texts + 0.5) - whole
         others = [[w for w, k in zip(p, here[e - len(p) : e].tolist(), strict=True) if not k] for p, e in zip(parts, ends.tolist(), strict=True)]
-        if len(self.number) > MEMO:
+        if len(self.number) > MEMO or self.used > MEMO_IDS:
             self.forget()
         return {"n_tokens": n + 1, "known": total(here & (count > 0)) + (m.texts > 0), "base": base / log(10), "score": score / log(10), "others": others}
 
 
-#: The model that this process has scored with last, by name.
-_held: dict[str, Worker] = {}
-
-
 def _scored(batches: Iterator[pa.RecordBatch], name: str, data) -> Iterator[pa.RecordBatch]:
-    if name not in _held:
-        _held.clear()
-        _held[name] = Worker(data.value)
-    worker = _held[name]
+    worker = memory("lm", name, make=lambda: Worker(data.value))
     for b in batches:
         at = 0
         texts = [t.as_py() or b"" for t in b.column("text").cast(pa.binary())]
@@ -292,7 +287,10 @@ def _scored(batches: Iterator[pa.RecordBatch], name: str, data) -> Iterator[pa.R
             while to < len(texts) and (to == at or size + len(texts[to]) < LOT_WORDS * 6):
                 size += len(texts[to])
                 to += 1
-            x = worker.scores(texts[at:to])
+            once: dict[bytes, int] = {}  # repeated texts are scored once
+            which = np.array([once.setdefault(t, len(once)) for t in texts[at:to]], np.int64)
+            x = worker.scores(list(once))
+            x = {k: [v[i] for i in which.tolist()] if isinstance(v, list) else v[which] for k, v in x.items()}
             own = b.slice(at, to - at)
             cols = {c: own.column(c) for c in ("rid", "doc_id", "row_key", "held_out")}
             cols |= {"n_tokens": pa.array(x["n_tokens"], pa.int64()), "known": pa.array(x["known"], pa.int64()), "base": pa.array(x["base"], pa.float64()), "score": pa.array(x["score"], pa.float64())}
@@ -317,8 +315,8 @@ def scored(docs: DataFrame, s: Settings = Settings(), path: str | None = None) -
     """doc_id, row_key, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``, of
     which doc_id, text and source are read (source for row_key alone) and other columns aren't.
 
-    A null text counts as empty: its one token is the end. Repeated rows have equal scores, and each counts in the
-    counts that are learnt from. A null doc_id's row is learnt from. Where no row is learnt from, the base gives every
+    A null text counts as empty: its one token is the end. Repeated rows have equal scores (in different tasks but for
+    single precision's last bits), and each counts in the counts that are learnt from. A null doc_id's row is learnt from. Where no row is learnt from, the base gives every
     token the same probability, and so nearly does the network. An empty table gives no rows. ``path`` is a byte-level
     vocabulary as ranks.
     """
