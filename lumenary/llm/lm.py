@@ -315,8 +315,8 @@ def scored(docs: DataFrame, s: Settings = Settings(), path: str | None = None) -
     """doc_id, row_key, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``, of
     which doc_id, text and source are read (source for row_key alone) and other columns aren't.
 
-    A null text counts as empty: its one token is the end. Repeated rows have equal scores (in different tasks but for
-    single precision's last bits), and each counts in the counts that are learnt from. A null doc_id's row is learnt from. Where no row is learnt from, the base gives every
+    A null text counts as empty: its one token is the end. Repeated rows have equal scores, as the network's
+    single precision is given to 5 decimals, and each counts in the counts that are learnt from. A null doc_id's row is learnt from. Where no row is learnt from, the base gives every
     token the same probability, and so nearly does the network. An empty table gives no rows. ``path`` is a byte-level
     vocabulary as ranks.
     """
@@ -348,4 +348,4 @@ def scored(docs: DataFrame, s: Settings = Settings(), path: str | None = None) -
     out = seen.drop("others").join(more, "rid", "left")
     known = (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long")
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0))
-    return out.select("doc_id", "row_key", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", "row_key", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), F.round("score", 5).alias("score"))
