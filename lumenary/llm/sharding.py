@@ -86,7 +86,7 @@ def output_folder(spark: SparkSession) -> str:
 
 #: Of the registered query's shards: small enough that its directory splits at every size of the tables. A production
 #: run passes its own, as 256 MB.
-LIMIT_BYTES = 256 << 10
+LIMIT_BYTES = 1 << 20
 
 SQL = f"""
 WITH keys AS (
