@@ -37,6 +37,8 @@ FILTER_BITS = 24
 ALIKE, RELATED = 50, 30
 #: Shingles and nodes of a block, on each side.
 BLOCK_WORDS, BLOCK_ROWS = 1 << 19, 256
+#: A key that has more than one in HOT of all rows is hot: fewer than HOT keys can be, so that they are broadcast.
+HOT = 1000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -179,6 +181,16 @@ def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return pair.select("u", "v", "both", (F.size("a") + F.size("b") - F.col("both")).alias("size"))
 
 
+def _beside(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ``facts``, with its columns. ``facts`` has a row a key with ``n``, how many rows have it;
+    the rows of hot keys stay in the tasks where they are."""
+    facts = stored(facts, "facts")
+    hot = F.col("n") * HOT > F.lit(facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    most = F.broadcast(facts.filter(hot).drop("n"))
+    others = rows.join(most.select(key), key, "left_anti").join(facts.filter(~hot).drop("n"), key)
+    return rows.join(most, key).unionByName(others)
+
+
 def _linked(pdf: pa.Table, percent: int) -> pa.Table:
     """Links between the queries and the rows of one block that are in different components."""
     data, asked = pdf.filter(pc.equal(pdf["asks"], False)), pdf.filter(pc.equal(pdf["asks"], True))
@@ -209,11 +221,11 @@ def _searched(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     blocks of bounded shingles, and each block of queries meets each block of the group in a task of its own.
     """
     of = nodes.groupBy("grp", "root").agg(F.count("*").alias("n"))
-    groups = of.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    full = stored(nodes.join(groups, "grp").join(sets, "node").select("grp", "node", "root", "words", (F.col("root") != F.col("main")).alias("outside")), "searched")
+    groups = of.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n")).filter("roots > 1").drop("roots")
+    full = stored(_beside(nodes, groups, "grp").join(sets, "node").select("grp", "node", "root", "words", (F.col("root") != F.col("main")).alias("outside")), "searched")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(F.when(n, F.size("words"))) / BLOCK_WORDS, F.count(F.when(n, 1)) / BLOCK_ROWS))).cast("int")
-    sized = full.groupBy("grp").agg(blocks(F.lit(True)).alias("nb"), blocks(F.col("outside")).alias("nq"))
-    dealt = full.join(sized, "grp")
+    sized = full.groupBy("grp").agg(blocks(F.lit(True)).alias("nb"), blocks(F.col("outside")).alias("nq"), F.count("*").alias("n"))
+    dealt = _beside(full, sized, "grp")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     data = dealt.select("grp", "node", "root", "words", F.lit(False).alias("asks"), mine("nb").alias("b"), every("nq").alias("q"))
@@ -274,12 +286,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     links = stored(edges.filter(F.col("both") * 100 >= F.col("size") * percent).select("u", "v"), "links")
     related = edges.filter(F.col("both") * 100 >= F.col("size") * RELATED).select("u", "v").unionByName(last.select(F.col("node").alias("u"), F.col("leader").alias("v")))
     roots, groups = stored(components(links), "roots"), components(related).select("node", F.col("root").alias("grp"))
-    more = stored(_searched(groups.join(roots, "node", "left").select("node", "grp", F.coalesce("root", "node").alias("root")), sets, percent), "links")
+    placed = stored(groups.join(roots, "node", "left").select("node", "grp", F.coalesce("root", "node").alias("root")), "placed")
+    more = stored(_searched(placed, sets, percent), "links")
     roots = stored(components(links.unionByName(more)), "roots")
 
-    of_class = classes.select("s1", "s2", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of_class.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = of_class.join(least, "root").select("s1", "s2", "component_id", F.col("root").alias("component_root"))
+    of_class = stored(classes.select("s1", "s2", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    least = of_class.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    of_class = _beside(of_class, least, "root").select("s1", "s2", "component_id", F.col("root").alias("component_root"))
     has = F.col("n_shingles") > 0
     out = signed.join(of_class, ["s1", "s2"], "left").withColumns({"component_id": F.when(has, F.col("component_id")).otherwise(F.col("doc_id")), "component_root": F.when(has, F.col("component_root"))})
     return out.select("doc_id", "row_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component_root")

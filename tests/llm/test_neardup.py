@@ -76,3 +76,13 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(500, 500)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)}
+
+
+def test_hot_keys_stay_where_they_are_and_all_rows_find_their_facts(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("root"))
+    facts = rows.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("root <> 1")
+    got = neardup._beside(rows, facts, "root")
+    assert {(r.id, r.least) for r in got.collect()} == {(i, 0 if i % 3 == 0 else i) for i in range(9000) if i != 1}
+    assert got.count() == 8999 and set(got.columns) == {"id", "root", "least"}
