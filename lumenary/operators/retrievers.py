@@ -152,37 +152,59 @@ def bm25(df: DataFrame, text: str, query, analyzer: Analyzer = Analyzer(), last_
 
 class Postings:
     """An inverted index as a table: (bucket, term, id, tf, length), in one folder a bucket and sorted by term, so that a
-    query reads the row groups of its terms alone."""
+    query reads the row groups of its terms alone. Beside it are the field's totals, so that statistics read no text."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+        self.spark, self.path, self.buckets, self._known = spark, path, buckets, None
 
     def build(self, df: DataFrame, text: str, analyzer: Analyzer = Analyzer(), id_column: str = "id") -> None:
         """A frequent term's postings spread over salted tasks, since rows are dealt by term and id."""
-        tokens = analyzer.column(F.col(text), df.schema[text].dataType.typeName() == "array")
-        rows = df.select(F.col(id_column).alias("id"), tokens.alias("t"), F.size(tokens).alias("length"))
+        tokens = analyzer.column(F.col(f"`{text}`"), df.schema[text].dataType.typeName() == "array")
+        rows = df.select(F.col(f"`{id_column}`").alias("id"), tokens.alias("t")).withColumn("length", F.size("t"))
         each = rows.select("id", "length", F.explode("t").alias("term")).groupBy("id", "term", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
         salt = F.pmod(F.xxhash64("id"), F.lit(8))
         each.withColumn("bucket", bucket).repartition("bucket", salt).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).write.mode("overwrite").parquet(f"{self.path}/totals")
+        self._known = None
+        id_type = F.lit(df.schema[id_column].dataType.simpleString()).alias("id_type")
+        rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).select("*", id_type).write.mode("overwrite").parquet(f"{self.path}/totals")
+
+    def _totals(self):
+        if self._known is None:
+            self._known = self.spark.read.parquet(f"{self.path}/totals").first()
+        return self._known
+
+    def _of(self, terms: Sequence[str], id_type: str) -> DataFrame:
+        """The postings of some terms, from their buckets' folders alone. An index without terms has no files."""
+        buckets = [F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int") for t in terms]  # constants, which prune folders
+        all_ = self.spark.read.schema(f"id {id_type}, term string, length int, tf int, bucket int").parquet(f"{self.path}/postings")
+        return all_.filter(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+
+    def _stats(self, totals, own: DataFrame | None) -> FieldStats:
+        rows = own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect() if own is not None else []  # a row a term of the query
+        return FieldStats(totals.rows, totals.terms, {r.term: r.n for r in rows})
+
+    def stats(self, terms: Sequence[str]) -> FieldStats:
+        """What `field_stats` gives, without a look at the texts."""
+        own, totals = list(dict.fromkeys(terms)), self._totals()
+        return self._stats(totals, self._of(own, totals.id_type) if own else None)
 
     def search(self, query, analyzer: Analyzer = Analyzer()) -> DataFrame:
-        """id, score: the postings of the query's terms, joined with their counts of rows, summed by id."""
-        terms = Counter(analyzer.terms(query))
-        all_ = self.spark.read.parquet(f"{self.path}/postings")
-        totals = self.spark.read.parquet(f"{self.path}/totals").first()
+        """id, score: the postings of the query's terms, added up by id in the order of the terms, so that scores are
+        those of `bm25` to the last bit and equal texts tie."""
+        terms, totals = Counter(analyzer.terms(query)), self._totals()
         if not terms:
-            return all_.select("id", F.lit(0.0).alias("score")).limit(0)
-        numbered = self.spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term")).select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("b"))
-        buckets = sorted({r.b for r in numbered.collect()})  # one a term of the query
-        own = all_.filter(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
-        by_term = {r.term: r.n for r in own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a term of the query
-        stats = FieldStats(totals.rows, totals.terms, by_term)
-        weight = {t: stats.idf(t) * (1.0 if analyzer.k3 is None else (analyzer.k3 + 1) * n / (analyzer.k3 + n)) for t, n in terms.items()}
-        by = F.element_at(F.create_map(*[F.lit(x) for t, w in weight.items() for x in (t, w)]), F.col("term"))
-        part = by * F.col("tf") * F.lit(analyzer.k1 + 1) / (F.col("tf") + F.lit(analyzer.k1) * (F.lit(1 - analyzer.b) + F.lit(analyzer.b) * F.col("length") / F.lit(stats.mean)))
-        return own.groupBy("id").agg(F.sum(part).alias("score"))
+            return self.spark.createDataFrame([], f"id {totals.id_type}, score double")
+        own = self._of(list(terms), totals.id_type)
+        stats = self._stats(totals, own)
+        tf, length = F.col("tf").cast("double"), F.col("length") / F.lit(stats.mean)
+        parts = []
+        for i, (term, times) in enumerate(terms.items()):
+            weight = 1.0 if analyzer.k3 is None else (analyzer.k3 + 1) * times / (analyzer.k3 + times)
+            part = F.lit(stats.idf(term) * weight) * tf * F.lit(analyzer.k1 + 1) / (tf + F.lit(analyzer.k1) * (F.lit(1 - analyzer.b) + F.lit(analyzer.b) * length))
+            parts.append(F.max(F.when(F.col("term") == term, part)).alias(f"p{i}"))  # of one row
+        total = reduce(lambda a, b: a + b, [F.coalesce(f"p{i}", F.lit(0.0)) for i in range(len(parts))])
+        return own.groupBy("id").agg(*parts).select("id", total.alias("score"))
 
 
 # Approximate dense search

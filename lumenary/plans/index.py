@@ -31,21 +31,28 @@ class Index:
     """Rows with an id, attributes and vectors, and how their texts are analysed.
 
     ``clusters``: a built search structure for ``vector``, used where a query isn't exact and has no filter.
+    ``postings``: built inverted indexes by text field, used for every query of words; those that end in a prefix read
+    the texts.
     """
 
-    def __init__(self, rows: DataFrame, id_column: str = "id", text: str = "text", vector: str = "vector", sparse: str = "sparse", metric: str = "dot_product", analyzers: Mapping[str, Analyzer] | None = None, clusters: retrievers.Clusters | None = None, encoding: vectors.SetEncoding = vectors.SetEncoding()):
+    def __init__(self, rows: DataFrame, id_column: str = "id", text: str = "text", vector: str = "vector", sparse: str = "sparse", metric: str = "dot_product", analyzers: Mapping[str, Analyzer] | None = None, clusters: retrievers.Clusters | None = None, encoding: vectors.SetEncoding = vectors.SetEncoding(), postings: Mapping[str, retrievers.Postings] | None = None):
         if id_column != "id":
             rows = rows.withColumnRenamed(id_column, "id")
         if metric not in vectors.METRICS:
             raise RequestError(f"{metric!r} is not a metric")
         self.rows, self.text, self.vector, self.sparse, self.metric = rows, text, vector, sparse, metric
-        self.analyzers, self.clusters, self.encoding = dict(analyzers or {}), clusters, encoding
+        self.analyzers, self.clusters, self.encoding, self.postings = dict(analyzers or {}), clusters, encoding, dict(postings or {})
 
     def analyzer(self, field: str) -> Analyzer:
         return self.analyzers.get(field, Analyzer())
 
     # Parts of requests
 
+    def _stats(self, field: str, terms: Sequence[str]) -> retrievers.FieldStats:
+        if field in self.postings:
+            return self.postings[field].stats(terms)
+        return retrievers.field_stats(self.rows, self.analyzer(field).column(F.col(f"`{field}`"), self.rows.schema[field].dataType.typeName() == "array"), terms)
+
     def filters(self, df: DataFrame, clause) -> Column | None:
         return None if clause is None else Filters(df, self.analyzers).column(clause)
 
@@ -62,8 +69,7 @@ class Index:
                 raw = own.terms(query, stemmed=False)
                 terms, prefix = terms[:-1], raw[-1] if raw else None
                 plain = own.column(F.col(f"`{field}`"), False, stemmed=False) if own.stemming else tokens
-            stats = retrievers.field_stats(self.rows, tokens, terms)
-            return retrievers.bm25_score(tokens, terms, stats, own, prefix, plain)
+            return retrievers.bm25_score(tokens, terms, self._stats(field, terms), own, prefix, plain)
 
         return Expressions(df, Filters(df, self.analyzers), text_part)
 
@@ -100,7 +106,11 @@ class Index:
             else:
                 out.append(("multi", retrievers.multi(rows, m["field"], m["vectors"])))
         for field, query, prefix in self._text_legs(q["text"]) if q.get("text") is not None else ():
-            out.append(("text", retrievers.bm25(rows, field, query, self.analyzer(field), prefix, corpus=self.rows)))
+            if field in self.postings and not prefix:
+                found = self.postings[field].search(query, self.analyzer(field))
+                out.append(("text", found if q.get("filters") is None else found.join(rows.select("id"), "id", "left_semi")))
+            else:
+                out.append(("text", retrievers.bm25(rows, field, query, self.analyzer(field), prefix, corpus=self.rows)))
         if q.get("sparse") is not None:
             out.append(("sparse", retrievers.sparse(rows, self.sparse, q["sparse"])))
         return out
@@ -198,8 +208,7 @@ class Index:
             raise RequestError('rank_fragments_by is [field, "BM25", query]')
         own = self.analyzer(attr)
         terms = own.terms(by[2])
-        array = self.rows.schema[attr].dataType.typeName() == "array"
-        stats = retrievers.field_stats(self.rows, own.column(F.col(f"`{attr}`"), array), terms)
+        stats = self._stats(attr, terms)
         h = projection.Highlight.parse({"attr": attr, "fragment_by": "sentence"} | {k: v for k, v in o.items() if k != "rank_fragments_by"})
         out = projection.highlighted(found, h, own, terms, {t: stats.idf(t) for t in terms})
         return out.withColumnRenamed("$highlights", name)
@@ -210,7 +219,15 @@ class Index:
             return self
         c = retrievers.Clusters(self.rows.sparkSession, path, self.vector, self.metric)
         c.build(self.rows, lists)
-        return Index(self.rows, "id", self.text, self.vector, self.sparse, self.metric, self.analyzers, c, self.encoding)
+        return Index(self.rows, "id", self.text, self.vector, self.sparse, self.metric, self.analyzers, c, self.encoding, self.postings)
+
+    def with_postings(self, path: str, *fields: str, buckets: int = 64) -> Index:
+        """The index with inverted indexes of some text fields, in folders of their own under ``path``."""
+        built = dict(self.postings)
+        for i, field in enumerate(fields or (self.text,)):
+            built[field] = retrievers.Postings(self.rows.sparkSession, f"{path}/{i}", buckets)
+            built[field].build(self.rows, field, self.analyzer(field))
+        return Index(self.rows, "id", self.text, self.vector, self.sparse, self.metric, self.analyzers, self.clusters, self.encoding, built)
 
     def multi_query(self, queries: Sequence[Mapping], rerank_by=None, limit: int = 10, offset: int = 0):
         """Results of up to 16 whole queries, or their reciprocal-rank fusion."""
@@ -241,8 +258,16 @@ class Index:
         """How a request runs: legs with their mode, limits, and Spark's plan."""
         legs = [] if q.get("rank_by") is not None or q.get("aggregate_by") is not None else self.legs(q)
         ann = self.clusters is not None and not q.get("exact") and q.get("filters") is None
+        texts = iter(self._text_legs(q["text"]) if q.get("text") is not None else ())
+
+        def mode(leg: str) -> str:
+            if leg == "text":
+                field, _, prefix = next(texts)
+                return "postings" if field in self.postings and not prefix else "exact"
+            return "clusters" if leg == "dense" and ann else "exact"
+
         plan = self.query(q)._jdf.queryExecution().simpleString()
-        return {"legs": [{"leg": k, "mode": "clusters" if k == "dense" and ann else "exact"} for k, _ in legs], "top_k": q.get("top_k", 10), "offset": q.get("offset", 0), "plan": plan}
+        return {"legs": [{"leg": k, "mode": mode(k)} for k, _ in legs], "top_k": q.get("top_k", 10), "offset": q.get("offset", 0), "plan": plan}
 
 
 def _numbered(page: DataFrame, order: Sequence[Column], offset: int) -> DataFrame:
