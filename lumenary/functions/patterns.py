@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,18 +78,27 @@ def within_edits(c: Column, value: str, most: int) -> Column:
 
 
 def substring_edits(text: str, value: str, most: int) -> bool:
-    """Whether some substring of ``text`` is within ``most`` edits of ``value``: a row of distances that may begin
-    anywhere in the text."""
-    if len(value) <= most:
+    """Whether some substring of ``text`` is within ``most`` edits of ``value``. The distances of the value's prefixes
+    to what ends here are held as two sets of bits, where the next prefix is one further and where one nearer, so that
+    a character costs a few operations on whole numbers."""
+    m = len(value)
+    if m <= most:
         return True
-    row = np.arange(len(value) + 1)
-    codes = np.array([ord(x) for x in value])
-    steps = np.arange(len(value) + 1)
+    where: dict[str, int] = {}
+    for i, ch in enumerate(value):
+        where[ch] = where.get(ch, 0) | 1 << i
+    full, last = (1 << m) - 1, 1 << m - 1
+    up, down, far = full, 0, m
     for ch in text:
-        new = np.concatenate(([0], np.minimum(row[1:] + 1, row[:-1] + (codes != ord(ch)))))
-        row = np.minimum.accumulate(new - steps) + steps  # insertions run along the row
-        if row[-1] <= most:
+        same = where.get(ch, 0)
+        level = same | down
+        along = (((same & up) + up) ^ up) | same
+        rises, falls = down | ~(along | up) & full, up & along
+        far += bool(rises & last) - bool(falls & last)
+        if far <= most:
             return True
+        rises, falls = rises << 1 & full, falls << 1 & full
+        up, down = falls | ~(level | rises) & full, rises & level
     return False
 
 
