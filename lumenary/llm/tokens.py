@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +31,9 @@ def _byte_characters() -> dict[int, int]:
 
 _BYTES = _byte_characters()
 _MARKS = (".", ",")
+#: The pieces that word_bpe_49k.json merges within, and the same among lower-case characters below U+0100.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+").findall
 
 
 def _plain(low: str) -> bool:
@@ -52,10 +58,21 @@ class IdBytes(dict):
         super().__init__()
         self.of = tokenizer(path)
         self.model = self.of.model
+        steps = json.loads(self.of.pre_tokenizer.__getstate__()).get("pretokenizers", [{}]) if self.of.pre_tokenizer else [{}]
+        added = {x.content[:1].lower() for x in self.of.get_added_tokens_decoder().values()}
+        #: What added tokens begin with, which are found before any cut. Where that is one character and the pattern is
+        #: known, parts of printable characters below U+0100 without it are cut here.
+        self.added = min(added, default="\n")
+        self.cuts = steps[0].get("pattern") == {"Regex": _PATTERN} and len(added) <= 1 and not self.added.isalnum()
 
     def __missing__(self, part: str) -> bytes:
         low, end = part.lower(), part[-1:]
-        if end in _MARKS and part[:-1].isalpha():
+        if self.cuts and _plain(part) and self.added not in part and part.isprintable():
+            if low.isalpha():
+                out = self.piece(low) if low != part else self.word(low)
+            else:
+                out = b"".join(map(self.piece, _PIECES(low)))
+        elif end in _MARKS and part[:-1].isalpha():
             out = self[low[:-1]] + self[end] if _plain(low[:-1]) else self.encoded(part)
         elif part.isalpha() and _plain(low):
             out = self[low] if low != part else self.word(low)
@@ -65,9 +82,20 @@ class IdBytes(dict):
             self[part] = out
         return out
 
+    def piece(self, low: str) -> bytes:
+        """Ids of one piece of lower-case characters below U+0100."""
+        out = self.get(low)
+        if out is None:
+            out = self.word(low)
+            if len(self) < MEMO and len(low) <= MEMO_WORD:
+                self[low] = out
+        return out
+
     def word(self, low: str) -> bytes:
-        """Ids of one lower-case word of letters below U+0100: its bytes go to the merges as they are."""
-        return np.array([x.id for x in self.model.tokenize(low.encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
+        """Ids of one piece, as a lower-case word of letters, below U+0100: its bytes go to the merges as they are."""
+        text = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES)
+        ids = [x.id for x in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encoded(self, part: str) -> bytes:
         return np.array(self.of.encode(part, add_special_tokens=False).ids, "<u4").tobytes()

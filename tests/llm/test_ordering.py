@@ -87,3 +87,22 @@ def test_parts_are_numbered_without_gaps(docs_of, monkeypatch, tmp_path):
     out = ordering.materialise(docs_of([(i, f"text number {i} " * 5) for i in range(80)], 11), f"file://{tmp_path}/out", seq_len=16, per_shard=8)
     slots = sorted(r.slot for r in out.collect())
     assert slots == list(range(len(slots))) and len(slots) > 11
+
+
+def test_ids_of_pieces_are_the_tokenizers():
+    """Parts below U+0100 are cut without the tokenizer, and their ids are its."""
+    import random
+
+    from lumenary.llm.tokens import IdBytes
+
+    of, own, whole = IdBytes(vocabulary()), Tokenizer.from_file(vocabulary()), []
+    of.encoded = lambda part: whole.append(part) or IdBytes.encoded(of, part)
+    rng, some = random.Random(8), "".join(map(chr, range(0x21, 0x180))) + "'''stremdvl   \n\t\x1ćK"
+    texts = ["".join(rng.choices(some, k=rng.randint(1, 12))) for _ in range(3000)]
+    texts += [f"{x}{c}{y}" for c in map(chr, range(0x21, 0x180)) for x, y in (("", ""), ("X", "."), ("a'", "s"))]
+    texts += ["<|endoftext|>", "(<|ENDOFTEXT|>)", "it's 'Tis WE'LL x''s", "CHHEITÜ!!", "(Word); (word), 12:30 ¼x²"]
+    for t in texts:
+        assert np.frombuffer(of.text(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, repr(t)
+    whole.clear()
+    of.text("New(Word); it's Unlike,ly 'tis CHHEITÜXQ!! 17:45")
+    assert not whole
