@@ -75,76 +75,97 @@ def unpack(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    return x / x.sum(-1, keepdims=True)
+def _bounded(q: np.ndarray, k: np.ndarray, dist: np.ndarray, heads: int) -> bool:
+    """Whether no attention weight's exponential can overflow, so that the largest need not be taken away first."""
+    norm = lambda x: float(np.square(x).reshape(len(x), heads, -1).sum(2).max()) ** 0.5
+    return norm(q) * norm(k) + float(np.abs(dist).max()) < 80
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, s: Shape) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of a batch and its gradients; x: windows x positions, y: the slots that follow, -1 where none does."""
+    """Mean loss of a batch and its gradients; x: windows x positions, y: the slots that follow, -1 where none does.
+
+    Logits lie with the classes, or the slots of a class, in rows and positions in columns, by class of what follows:
+    sums and maxima of a column are then whole vectors' operations. Attention stays unnormalised: a column of ones beside
+    the values adds up its weights, and the same column takes each row's mean away on the way back.
+    """
     b, w = x.shape
-    h, dh = s.heads, s.dim // s.heads
-    scale = F32(dh**-0.5)
+    h, d, dh = s.heads, s.dim, s.dim // s.heads
+    emb, kind = p["emb"], p["emb"].dtype
+    scale = kind.type(dh**-0.5)
     given = x.ravel()
-    split = lambda m: m.reshape(b, w, h, dh).transpose(0, 2, 1, 3)
-    join = lambda m: m.transpose(0, 2, 1, 3).reshape(b * w, s.dim)
-    by_slot = lambda name: (p["emb"] @ p[name]).take(given, 0)  # noqa: E731  # what depends on a slot alone
-    q, k, v = (split(by_slot(n)) for n in "qkv")
+    # What depends on a slot alone.
+    q, k = emb @ (p["q"] * scale), emb @ p["k"]
+    v = np.ones((len(emb), h, dh + 1), kind)
+    v[..., :-1] = (emb @ p["v"]).reshape(-1, h, dh)
+    bounded = _bounded(q, k, p["dist"], h)
+    at = np.concatenate([q, k, v.reshape(len(emb), -1), emb @ p["own"] + p["bias"]], 1).take(given, 0)
+    split = lambda m, n: m.reshape(b, w, h, n).transpose(0, 2, 1, 3)
+    q, k, v = split(at[:, :d], dh), split(at[:, d : 2 * d], dh), split(at[:, 2 * d : 3 * d + h], dh + 1)
     gap = np.arange(w)[:, None] - np.arange(w)[None]
     causal = gap >= 0
-    near = np.where(causal, gap, 0)
-    att = _softmax(np.where(causal, q @ k.swapaxes(2, 3) * scale + p["dist"][:, near], F32(-1e9)))
-    z = join(att @ v)
-    pre = by_slot("own") + z @ p["seen"] + p["bias"]
-    u = np.clip(pre, 0, MOST)
+    att = q @ k.swapaxes(2, 3)
+    att += np.where(causal, p["dist"][:, np.where(causal, gap, 0)], kind.type(-1e9))
+    if not bounded:
+        att -= att.max(-1, keepdims=True)
+    np.exp(att, out=att)
+    z = att @ v
+    over = 1 / z[..., -1:]
+    z = z[..., :-1] * over
+    joined = z.transpose(0, 2, 1, 3).reshape(b * w, d)
+    u = joined @ p["seen"]
+    u += at[:, 3 * d + h :]
+    np.clip(u, 0, MOST, out=u)
     u[:, -1] = 1
-    real = np.flatnonzero(y.ravel() >= 0)
-    target, n = y.ravel()[real], F32(max(1, len(real)))
-    ur = u[real]
-    cls = target // WIDTH
-    pc = _softmax(ur @ p["cls"])
-    loss = -np.log(pc[np.arange(len(real)), cls] + 1e-12).sum()
-    pc[np.arange(len(real)), cls] -= 1
-    g = {"cls": ur.T @ pc / n, "tok": np.zeros_like(p["tok"])}
-    du = pc @ p["cls"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.cumsum(np.bincount(cls, minlength=s.classes))
-    for c, (lo, hi) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
-        if hi > lo:
-            at = order[lo:hi]
-            t = target[at] % WIDTH
-            pt = _softmax(ur[at] @ p["tok"][c])
-            loss -= np.log(pt[np.arange(len(at)), t] + 1e-12).sum()
-            pt[np.arange(len(at)), t] -= 1
-            g["tok"][c] = ur[at].T @ pt / n
-            du[at] += pt @ p["tok"][c].T
-    dpre = np.zeros_like(pre)
-    dpre[real] = du / n * ((pre[real] > 0) & (pre[real] < MOST))
-    dpre[:, -1] = 0
-    g |= {"seen": z.T @ dpre, "bias": dpre.sum(0)}
-    dz = split(dpre @ p["seen"].T)
-    datt = dz @ v.swapaxes(2, 3)
-    ds = att * (datt - (datt * att).sum(-1, keepdims=True))
-    dist = np.zeros_like(p["dist"])
+    target = y.ravel()
+    real = target >= 0
+    n = int(np.count_nonzero(real))
+    order = np.argsort(np.where(real, target // WIDTH, s.classes).astype(np.uint16), kind="stable")[:n]
+    target = target[order]
+    cls, column, share = target // WIDTH, np.arange(n), kind.type(1 / max(1, n))
+    u = u.take(order, 0)
+    ends = np.cumsum(np.bincount(cls, minlength=s.classes)).tolist()
+    parts = [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if hi > lo]
+    by_class, by_slot = p["cls"].T @ u.T, np.empty((WIDTH, n), kind)
+    for c, lo, hi in parts:
+        np.matmul(p["tok"][c].T, u[lo:hi].T, out=by_slot[:, lo:hi])
+    loss = 0.0
+    for logits, row in ((by_class, cls), (by_slot, target % WIDTH)):
+        logits -= logits.max(0)
+        np.exp(logits, out=logits)
+        logits *= share / logits.sum(0)
+        loss -= np.log(logits[row, column] / share + 1e-12).sum()
+        logits[row, column] -= share
+    g = {"cls": u.T @ by_class.T, "tok": np.zeros_like(p["tok"])}
+    du, more = by_class.T @ p["cls"].T, np.empty_like(u)
+    for c, lo, hi in parts:
+        np.matmul(u[lo:hi].T, by_slot[:, lo:hi].T, out=g["tok"][c])
+        np.matmul(by_slot[:, lo:hi].T, p["tok"][c].T, out=more[lo:hi])
+    du += more
+    du *= (u > 0) & (u < MOST)
+    du[:, -1] = 0
+    back = np.zeros((b * w, 3 * d + s.hidden), kind)  # of q, k, v and own, by position
+    back[order, 3 * d :] = du
+    dpre = back[:, 3 * d :]
+    g |= {"seen": joined.T @ dpre, "bias": du.sum(0)}
+    dz = np.empty((b, h, w, dh + 1), kind)
+    np.multiply(split(dpre @ p["seen"].T, dh), over, out=dz[..., :-1])
+    dz[..., -1] = -np.einsum("bhwd,bhwd->bhw", dz[..., :-1], z)
+    ds = dz @ v.swapaxes(2, 3)
+    ds *= att
+    np.matmul(ds, k, out=split(back[:, :d], dh))
+    np.matmul(ds.swapaxes(2, 3), q, out=split(back[:, d : 2 * d], dh))
+    np.matmul(att.swapaxes(2, 3), dz[..., :-1], out=split(back[:, 2 * d : 3 * d], dh))
     by_gap = ds.sum(0)
-    for d in range(w):
-        dist[:, d] = np.diagonal(by_gap, -d, 1, 2).sum(-1)
-    g["dist"] = dist
-    back = {"q": join(ds @ k * scale), "k": join(ds.swapaxes(2, 3) @ q * scale), "v": join(att.swapaxes(2, 3) @ dz)}
+    g["dist"] = np.stack([np.bincount(gap[causal], m[causal], w) for m in by_gap]).astype(kind)
+    both = emb.take(given, 0).T @ back
+    g |= {"q": both[:, :d] * scale, "k": both[:, d : 2 * d], "v": both[:, 2 * d : 3 * d], "own": both[:, 3 * d :]}
+    de = back @ np.concatenate([p["q"] * scale, p["k"], p["v"], p["own"]], 1).T
     order = np.argsort(given.astype(np.uint16), kind="stable")
     slots = given[order]
     first = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
-    summed = np.add.reduceat(np.concatenate([*back.values(), dpre], 1).take(order, 0), first)
-    slots, to = slots[first], 0
-    e, de = p["emb"][slots], 0
-    for name in (*back, "own"):
-        m = summed[:, to : to + p[name].shape[1]]
-        to += m.shape[1]
-        g[name] = e.T @ m
-        de = de + m @ p[name].T
-    g["emb"] = np.zeros_like(p["emb"])
-    g["emb"][slots] = de
-    return float(loss / n), g
+    g["emb"] = np.zeros_like(emb)
+    g["emb"][slots[first]] = np.add.reduceat(de.take(order, 0), first)
+    return float(loss * share), g
 
 
 class Adam:
@@ -159,9 +180,19 @@ class Adam:
         self.step += 1
         rate = F32(self.rate * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step))
         for k, x in p.items():
-            self.m[k] += F32(0.1) * (g[k] - self.m[k])
-            self.v[k] += F32(0.01) * (g[k] ** 2 - self.v[k])
-            x -= rate * self.m[k] / (np.sqrt(self.v[k]) + F32(1e-7))
+            m, v = self.m[k], self.v[k]
+            by = g[k] - m
+            by *= F32(0.1)
+            m += by
+            np.square(g[k], out=by)
+            by -= v
+            by *= F32(0.01)
+            v += by
+            np.sqrt(v, out=by)
+            by += F32(1e-7)
+            np.divide(m, by, out=by)
+            by *= rate
+            x -= by
 
 
 class Scorer:
@@ -174,31 +205,27 @@ class Scorer:
         self.p, self.s, self.dh = p, s, s.dim // s.heads
         n, h = len(p["emb"]), s.heads
         self.q = np.ascontiguousarray(p["emb"] @ p["q"] * F32(self.dh**-0.5))
-        self.k = np.ascontiguousarray(p["emb"] @ p["k"])
-        v = (p["emb"] @ p["v"]).reshape(n, h, self.dh)
-        self.v = np.ascontiguousarray(np.concatenate([v, np.ones((n, h, 1), F32)], 2).reshape(n, -1))  # the last adds up the weights
+        k, v = p["emb"] @ p["k"], (p["emb"] @ p["v"]).reshape(n, h, self.dh)
+        self.kv = np.concatenate([k, np.concatenate([v, np.ones((n, h, 1), F32)], 2).reshape(n, -1)], 1)  # v's last adds up the weights
         self.own = np.ascontiguousarray(p["emb"] @ p["own"] + p["bias"])
         gap = np.arange(s.stride)[:, None] + s.stride - np.arange(s.window)[None]
         self.dist = np.where(gap >= 0, p["dist"][:, np.where(gap >= 0, gap, 0)], F32(-1e9)).astype(F32)
-        self.ones = np.ones(WIDTH, F32)
-        norm = lambda x: float(np.sqrt((x.reshape(n, h, -1) ** 2).sum(2)).max())
-        reach = lambda w: float((np.abs(w[..., :-1, :]).sum(-2) * MOST + np.abs(w[..., -1, :])).max())
-        #: Whether no exponential can overflow, so that the largest need not be taken away first.
-        self.bounded = norm(self.q) * norm(self.k) + float(np.abs(p["dist"]).max()) < 80, reach(p["cls"]) < 80 and reach(p["tok"]) < 80
+        #: Of the attention; the outputs' largest logits are always taken away. By parameters alone, so that equal texts
+        #: are scored alike wherever they are.
+        self.bounded = (_bounded(self.q, k, p["dist"], h),)
 
     def tokens(self, x: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target; x, context: blocks x stride, the slots up to each target and the block before."""
         s, n = self.s, len(x)
         h, st, dh = s.heads, s.stride, self.dh
-        both = np.concatenate([context, x], 1)
-        k = np.ascontiguousarray(self.k.take(both, 0).reshape(n, s.window, h, dh).transpose(0, 2, 3, 1))
-        q = self.q.take(x, 0).reshape(n, st, h, dh).transpose(0, 2, 1, 3)
-        att = q @ k
+        kv = self.kv.take(np.concatenate([context, x], 1).ravel(), 0)
+        split = lambda m, by: m.reshape(n, -1, h, by).transpose(0, 2, 1, 3)
+        att = split(self.q.take(x.ravel(), 0), dh) @ split(kv[:, : s.dim], dh).swapaxes(2, 3)
         att += self.dist
         if not self.bounded[0]:
             att -= att.max(-1, keepdims=True)
         np.exp(att, out=att)
-        z = att @ self.v.take(both, 0).reshape(n, s.window, h, dh + 1).transpose(0, 2, 1, 3)
+        z = att @ split(kv[:, s.dim :], dh + 1)
         z = (z[..., :-1] / z[..., -1:]).transpose(0, 2, 1, 3).reshape(n * st, s.dim)
         u = z @ self.p["seen"]
         u += self.own.take(x.ravel(), 0)
@@ -208,20 +235,19 @@ class Scorer:
         cls, at = target // WIDTH, np.arange(n * st)
         order = np.argsort(cls.astype(np.uint8) if s.classes <= 256 else cls, kind="stable")
         u, cls, t = u.take(order, 0), cls[order], target[order] % WIDTH
-        a, b = u @ self.p["cls"], np.empty((n * st, WIDTH), F32)
+        a, b = self.p["cls"].T @ u.T, np.empty((WIDTH, n * st), F32)  # positions in columns, as in ``gradients``
         lo = 0
         for c, m in enumerate(np.bincount(cls, minlength=s.classes).tolist()):
             if m:
-                np.matmul(u[lo : lo + m], self.p["tok"][c], out=b[lo : lo + m])
+                np.matmul(self.p["tok"][c].T, u[lo : lo + m].T, out=b[:, lo : lo + m])
                 lo += m
-        if not self.bounded[1]:
-            a -= a.max(1, keepdims=True)
-            b -= b.max(1, keepdims=True)
-        got = a[at, cls] + b[at, t]
+        a -= a.max(0)
+        b -= b.max(0)
+        got = a[cls, at] + b[t, at]
         np.exp(a, out=a)
         np.exp(b, out=b)
         out = np.empty(n * st, F32)
-        out[order] = got - np.log((a @ np.ones(s.classes, F32)) * (b @ self.ones))
+        out[order] = got - np.log(a.sum(0) * b.sum(0))
         return out
 
     def texts(self, slots: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -21,6 +21,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,11 @@ FREQUENT = 250_000
 #: Copies of the network that learn side by side at most, windows for each and round at least, and means that reach the
 #: driver at most.
 COPIES, COPY_WINDOWS, MEANS = 1024, 64_000, 32
-#: Windows that a task holds before it passes them on.
-LOT_WINDOWS = 50_000
+#: Windows that a task holds before it passes them on, and windows in a row of those that are stored.
+LOT_WINDOWS, ROW_WINDOWS = 50_000, 256
+#: Bytes that are allocated and freed before steps of many arrays: from then on, malloc keeps that much between them and
+#: doesn't ask the system for zeroed pages at every step.
+HEAP = 24 << 20
 PAD = 0xFFFF
 
 
@@ -62,6 +66,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the numbers of all their words among these, and how many words each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).fill_null(b"").view(pa.string())))
+    coded = lists.flatten().dictionary_encode()
+    distinct, codes = coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy()
+    n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    if b"" in distinct:  # before, between and behind white space
+        real = codes != distinct.index(b"")
+        n = np.diff(np.concatenate(([0], np.cumsum(real)))[np.concatenate(([0], np.cumsum(n)))])
+        codes = codes[real]
+    return distinct, codes, n
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and their counts in a part of the table, some words more than once."""
     held: Counter = Counter()
@@ -139,8 +156,8 @@ def windows_of(ids: np.ndarray, shape: Shape) -> np.ndarray:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], path: str, slots, s: Settings) -> Iterator[pa.RecordBatch]:
-    """The windows of each text, and the round that each is learnt in."""
-    of, slot, size = ranked(path), slots.value.slot, 2 * (s.shape.window + 1)
+    """The windows of each text, and the round that each is learnt in; the batches have texts, or slots as read before."""
+    slot, size = slots.value.slot, 2 * (s.shape.window + 1)
 
     def lot() -> pa.RecordBatch:
         data = np.concatenate(rows)
@@ -149,9 +166,10 @@ def _windows(batches: Iterator[pa.RecordBatch], path: str, slots, s: Settings) -
 
     for b in batches:
         rows, rounds, n = [], [], 0
-        for t in b.column("text").cast(pa.binary()):
+        read = "slots" in b.schema.names
+        for t in b.column("slots" if read else "text").cast(pa.binary()):
             text = t.as_py() or b""
-            rows.append(windows_of(slot[spelt(text.lower().split(), of)[0]], s.shape))
+            rows.append(windows_of(np.frombuffer(text, "<u2") if read else slot[spelt(text.lower().split(), ranked(path))[0]], s.shape))
             rounds.append(np.random.default_rng([s.seed, zlib.crc32(text)]).integers(s.rounds, size=len(rows[-1])))
             n += len(rows[-1])
             if n >= LOT_WINDOWS:
@@ -161,6 +179,16 @@ def _windows(batches: Iterator[pa.RecordBatch], path: str, slots, s: Settings) -
             yield lot()
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch], path: str, slots, s: Settings) -> Iterator[pa.RecordBatch]:
+    """The same windows, up to ROW_WINDOWS of a round in a row: rows are then few to store, to read and to deal."""
+    size = 2 * (s.shape.window + 1)
+    for b in _windows(batches, path, slots, s):
+        data, round_ = np.frombuffer(b.column("window").buffers()[2], f"V{size}", len(b)), b.column("round").to_numpy()
+        rows = [(r, len(x), x.tobytes()) for r in range(s.rounds) for own in (data[round_ == r],) for i in range(0, len(own), ROW_WINDOWS) for x in (own[i : i + ROW_WINDOWS],)]
+        rounds, ns, parts = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_pydict({"round": pa.array(rounds, pa.int32()), "n": pa.array(ns, pa.int64()), "windows": pa.array(parts, pa.binary())})
+
+
 def _learnt(batches: Iterator[pa.RecordBatch], start, s: Settings, round_: int, expected: float, passes: int) -> Iterator[pa.RecordBatch]:
     """The parameters after a task's windows, and how many it had; no windows, no row. The rate rises over the first
     steps and falls to nearly nothing over the last two fifths of all rounds, of which a task expects to see so many."""
@@ -168,8 +196,9 @@ def _learnt(batches: Iterator[pa.RecordBatch], start, s: Settings, round_: int,
     p = unpack(start.value, like)
     adam, n, done = Adam(p, s.rate), 0, 0
     rng = np.random.default_rng(s.seed)
+    np.empty(HEAP, np.uint8)
     for b in batches:
-        rows = np.frombuffer(b"".join(b.column("window").to_pylist()), "<u2").reshape(len(b), -1).astype(np.int64)
+        rows = np.frombuffer(b"".join(b.column("windows").to_pylist()), "<u2").reshape(-1, s.shape.window + 1).astype(np.int64)
         n += len(rows)
         for _ in range(passes):
             order = rng.permutation(len(rows))
@@ -193,15 +222,15 @@ def _mean(rows: pa.Table) -> pa.Table:
 
 
 def learnt(windows: DataFrame, counts: np.ndarray, s: Settings) -> dict[str, np.ndarray]:
-    """The network's parameters after all rounds over the table ``windows``; its size is that of the parameters."""
+    """The network's parameters after all rounds over the table ``windows`` of ``_window_rows``; its size is that of the parameters."""
     spark = windows.sparkSession
     like = initial(counts, s.shape, s.seed)
-    p, n = pack(like), windows.count()
+    p, n = pack(like), windows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     copies = min(COPIES, max(1, round(n / s.rounds / COPY_WINDOWS)))
     passes = max(1, min(s.passes, s.least_tokens // max(1, n * s.shape.window)))
     for r in range(s.rounds if n else 0):
         start = spark.sparkContext.broadcast(p)
-        part = windows.filter(F.col("round") == r).select("window").repartition(copies)
+        part = windows.filter(F.col("round") == r).select("windows").repartition(copies)
         each = in_arrow(part, partial(_learnt, start=start, s=s, round_=r, expected=n / s.rounds / copies, passes=passes), "grp int, n long, p binary")
         got = each.groupBy("grp").applyInArrow(_mean, "n long, p binary").toArrow()
         if len(got):
@@ -211,9 +240,10 @@ def learnt(windows: DataFrame, counts: np.ndarray, s: Settings) -> dict[str, np.
 
 @dataclass
 class Model:
-    """What scoring needs: parameters, slots, the words with the largest counts, and the base's totals."""
+    """What scoring needs: parameters (none for reading alone), slots, the words with the largest counts, and the base's
+    totals."""
 
-    params: dict[str, np.ndarray]
+    params: dict[str, np.ndarray] | None
     shape: Shape
     slots: Slots
     path: str
@@ -228,7 +258,7 @@ class Worker:
     """A process's view of a model: its words by number, with their ids, base counts and shares of rare ids."""
 
     def __init__(self, m: Model):
-        self.m, self.of, self.scorer = m, ranked(m.path), Scorer(m.params, m.shape)
+        self.m, self.of, self.scorer = m, ranked(m.path), Scorer(m.params, m.shape) if m.params else None
         self.base = {w: c for w, c in zip(m.words, m.counts.tolist(), strict=True)}
         self.number: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
@@ -256,46 +286,79 @@ class Worker:
             self.number.popitem()
             self.used = int(self.first[n - 1])
 
-    def scores(self, texts: list[bytes]) -> dict[str, list | np.ndarray]:
-        """n_tokens, known, base and score of each text; base and known without the words in ``others``."""
-        m, parts = self.m, [t.lower().split() for t in texts]
-        words = [w for p in parts for w in p]
-        if new := [w for w in set(words) if w not in self.number]:
+    def read(self, texts: list[bytes]) -> dict[str, pa.Array | np.ndarray]:
+        """n_tokens, known and base of each text, the last two without the words in ``others``; the slots of all texts one
+        after another, how many each has, and its log share of rare ids."""
+        m = self.m
+        words, codes, n = words_of(pa.array(texts, pa.binary()))
+        at = list(map(self.number.get, words))
+        if new := [w for w, k in zip(words, at, strict=True) if k is None and w]:
+            first = len(self.number)
             self.learn(new)
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        n = np.array([*map(len, parts)], np.int64)
-        sizes, ends = self.size[at].astype(np.int64), np.cumsum(n)
-        total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[np.concatenate(([0], ends))])
-        flat = np.repeat(self.first[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        score = self.scorer.texts(self.ids[flat], total(sizes)) + total(self.rare[at])
+            places = iter(range(first, first + len(new)))
+            at = [next(places) if k is None and w else k or 0 for w, k in zip(words, at, strict=True)]  # no word is empty
+        at = np.array([k or 0 for k in at] if None in at else at, np.int64)
+        # From here on by distinct word, and by word where sums are.
+        sizes, ends = self.size[at], np.concatenate(([0], np.cumsum(n)))
+        total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x[codes])))[ends])
         count = self.count[at]
         here, whole = count >= 0, log(m.tokens + 0.5 * (m.distinct + 1))
         base = total(np.where(here, np.log(np.maximum(count, 0) + 0.5) - whole, 0.0)) + log(m.texts + 0.5) - whole
-        others = [[w for w, k in zip(p, here[e - len(p) : e].tolist(), strict=True) if not k] for p, e in zip(parts, ends.tolist(), strict=True)]
+        each = sizes[codes]
+        begin = np.cumsum(each, dtype=np.int64) - each
+        slots = self.ids[np.repeat(self.first[at][codes] - begin, each) + np.arange(each.sum())]
+        left = ~here[codes]
+        others = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left)))[ends], pa.int32()), pa.array(words, pa.binary()).take(pa.array(codes[left])))
         if len(self.number) > MEMO or self.used > MEMO_IDS:
             self.forget()
-        return {"n_tokens": n + 1, "known": total(here & (count > 0)) + (m.texts > 0), "base": base / log(10), "score": score / log(10), "others": others}
+        known = total(here & (count > 0)) + (m.texts > 0)
+        return {"n_tokens": n + 1, "known": known, "base": base / log(10), "others": others, "slots": slots, "sizes": total(sizes.astype(np.int64)), "rare": total(self.rare[at])}
 
+    def scores(self, texts: list[bytes]) -> dict[str, pa.Array | np.ndarray]:
+        """n_tokens, known, base, others and score of each text."""
+        x = self.read(texts)
+        return x | {"score": (self.scorer.texts(x["slots"], x["sizes"]) + x["rare"]) / log(10)}
 
-def _scored(batches: Iterator[pa.RecordBatch], name: str, data) -> Iterator[pa.RecordBatch]:
+
+def _lots(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of ``size`` bytes about, or a longer text alone."""
+    at = 0
+    while at < len(texts):
+        to, n = at, 0
+        while to < len(texts) and (to == at or n + len(texts[to]) < size):
+            n += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
+def _read(batches: Iterator[pa.RecordBatch], name: str, data) -> Iterator[pa.RecordBatch]:
+    """What ``Worker.read`` has for each text, in columns."""
     worker = memory("lm", name, make=lambda: Worker(data.value))
     for b in batches:
-        at = 0
         texts = [t.as_py() or b"" for t in b.column("text").cast(pa.binary())]
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) < LOT_WORDS * 6):
-                size += len(texts[to])
-                to += 1
+        for at, to in _lots(texts, LOT_WORDS * 6):
+            x = worker.read(texts[at:to])
+            cols = {c: b.column(c).slice(at, to - at) for c in ("rid", "doc_id", "row_key", "held_out")}
+            cols |= {c: pa.array(x[c], pa.int64() if c in ("n_tokens", "known") else pa.float64()) for c in ("n_tokens", "known", "base", "rare")}
+            ends = np.concatenate(([0], np.cumsum(2 * x["sizes"]))).astype(np.int32)
+            slots = pa.BinaryArray.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(x["slots"].astype("<u2").tobytes())])
+            yield pa.RecordBatch.from_pydict(cols | {"others": x["others"], "slots": slots})
+
+
+def _scored(batches: Iterator[pa.RecordBatch], name: str, data) -> Iterator[pa.RecordBatch]:
+    """The score of each row of ``_read``, in place of its slots and rare ids' share."""
+    scorer = memory("lm", name, make=lambda: Scorer(*data.value))
+    np.empty(HEAP, np.uint8)
+    for b in batches:
+        texts, rare, scores = b.column("slots").to_pylist(), b.column("rare").to_numpy(), np.zeros(len(b))
+        for at, to in _lots(texts, LOT_WORDS * 6):
             once: dict[bytes, int] = {}  # repeated texts are scored once
             which = np.array([once.setdefault(t, len(once)) for t in texts[at:to]], np.int64)
-            x = worker.scores(list(once))
-            x = {k: [v[i] for i in which.tolist()] if isinstance(v, list) else v[which] for k, v in x.items()}
-            own = b.slice(at, to - at)
-            cols = {c: own.column(c) for c in ("rid", "doc_id", "row_key", "held_out")}
-            cols |= {"n_tokens": pa.array(x["n_tokens"], pa.int64()), "known": pa.array(x["known"], pa.int64()), "base": pa.array(x["base"], pa.float64()), "score": pa.array(x["score"], pa.float64())}
-            yield pa.RecordBatch.from_pydict(cols | {"others": pa.array(x["others"], pa.list_(pa.binary()))})
-            at = to
+            slots = np.frombuffer(b"".join(once), "<u2").astype(np.int32)
+            scores[at:to] = scorer.texts(slots, np.array([len(t) // 2 for t in once], np.int64))[which]
+        cols = {c: b.column(c) for c in ("rid", "doc_id", "row_key", "held_out", "n_tokens", "known", "base")}
+        yield pa.RecordBatch.from_pydict(cols | {"score": pa.array((scores + rare) / log(10))})
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -331,21 +394,22 @@ def scored(docs: DataFrame, s: Settings = Settings(), path: str | None = None) -
         ids[r.id] = r.n
     slots = Slots.of(ids, texts, s.shape)
     sent = spark.sparkContext.broadcast(slots)
-    windows = stored(in_arrow(learning, partial(_windows, path=path, slots=sent, s=s), "round int, window binary"), "windows")
-    params = learnt(windows, slots.counts, s)
     frequent = most_frequent(counts, FREQUENT).toArrow()
-    model = Model(params, s.shape, slots, path, frequent["word"].to_pylist(), frequent["n"].to_numpy(), n + texts, distinct + (texts > 0), texts)
-    data = spark.sparkContext.broadcast(model)
-    schema = "rid long, doc_id long, row_key long, held_out boolean, n_tokens long, known long, base double, score double, others array<binary>"
-    seen = stored(in_arrow(cols, partial(_scored, name=uuid.uuid4().hex, data=data), schema), "scored")
-    each = seen.select("rid", F.explode("others").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
+    model = Model(None, s.shape, slots, path, frequent["word"].to_pylist(), frequent["n"].to_numpy(), n + texts, distinct + (texts > 0), texts)
+    keys = "rid long, doc_id long, row_key long, held_out boolean, n_tokens long, known long, base double"
+    read = stored(in_arrow(cols, partial(_read, name=uuid.uuid4().hex, data=spark.sparkContext.broadcast(model)), f"{keys}, rare double, others array<binary>, slots binary"), "read")
+    learning = read.filter(~F.col("held_out")).select("slots")
+    windows = stored(in_arrow(learning, partial(_window_rows, path=path, slots=sent, s=s), "round int, n long, windows binary"), "windows")
+    params = spark.sparkContext.broadcast((learnt(windows, slots.counts, s), s.shape))
+    seen = stored(in_arrow(read.drop("others"), partial(_scored, name=uuid.uuid4().hex, data=params), f"{keys}, score double"), "scored")
+    each = read.select("rid", F.explode("others").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     whole = model.tokens + 0.5 * (model.distinct + 1)
     more = each.join(counts, "word", "left").groupBy("rid").agg(
         F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(whole)))).alias("more_base"),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
     )
-    out = seen.drop("others").join(more, "rid", "left")
+    out = seen.join(more, "rid", "left")
     known = (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long")
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0))
     return out.select("doc_id", "row_key", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), F.round("score", 5).alias("score"))

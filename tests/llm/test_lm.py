@@ -201,3 +201,50 @@ def test_windows_keep_beginnings_and_ends_whole():
         told = [(x, y) for r in rows for x, y in zip(r[:-1].tolist(), r[1:].tolist(), strict=True) if y != lm.PAD]
         assert told == list(zip([lm.PAD, *ids.tolist()], [*ids.tolist(), a.END], strict=True))
         assert (rows[0][: a.Shape().stride + 1] == lm.PAD).all()
+
+
+def test_windows_of_stored_slots_are_those_of_texts(monkeypatch):
+    """Texts are read once: learning takes the slots that reading leaves, many windows in a row."""
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    of, s = ranked(path), lm.Settings(shape=TINY)
+    rng = np.random.default_rng(2)
+    slots = lm.Slots.of(rng.integers(0, 50, of.n_vocab).astype(float), 1, TINY)
+    sent = type("Sent", (), {"value": slots})
+    texts = [b"", b" \x0b a  B\r\nc ", "É é\xa0x THE ".encode(), b"tion " * 3000, *(f"some words{i} {'x' * i} ".encode() * (i % 9) for i in range(60))]
+    w = lm.Worker(lm.Model(None, TINY, slots, path, [b"a", b"the"], np.array([5, 3]), 8, 2, 1))
+    x = w.read(texts)
+    ends = np.cumsum(x["sizes"])
+    read = pa.RecordBatch.from_pydict({"slots": [x["slots"][e - n : e].astype("<u2").tobytes() for e, n in zip(ends, x["sizes"], strict=True)]})
+    monkeypatch.setattr(lm, "LOT_WINDOWS", 100)
+    monkeypatch.setattr(lm, "ROW_WINDOWS", 7)
+    size = 2 * (TINY.window + 1)
+    got, rounds = Counter(), set()
+    for b in lm._window_rows([read], path, sent, s):
+        for r, n, data in zip(*(b.column(c).to_pylist() for c in ("round", "n", "windows")), strict=True):
+            assert 1 <= n <= 7 and len(data) == n * size
+            rounds.add(r)
+            got.update(data[i : i + size] for i in range(0, len(data), size))
+    want = Counter()
+    for b in lm._windows([pa.RecordBatch.from_pydict({"text": [t.decode() for t in texts]})], path, sent, s):
+        want.update(b.column("window").to_pylist())
+    assert got == want and rounds == set(range(s.rounds))
+    assert x["n_tokens"].tolist() == [len(t.split()) + 1 for t in texts]
+    assert x["others"].to_pylist() == [[v for v in t.lower().split() if v not in (b"a", b"the")] for t in texts]
+
+
+def test_words_are_those_of_the_description():
+    texts = ["", None, " \x0b\x0ca  b\r\n\x1cC\x85d ", "É É\xa0x A", "\x00 A", "a\tB"]
+    want = [WORDS.findall((t or "").translate(FOLD)) for t in texts]
+    for lo, hi in ((0, 6), (2, 4), (0, 2)):
+        words, codes, n = lm.words_of(pa.array(texts).slice(lo, hi - lo))
+        assert n.tolist() == [*map(len, want[lo:hi])]
+        assert [words[c].decode() for c in codes] == [w for p in want[lo:hi] for w in p]
+
+
+def test_large_attention_does_not_overflow_in_learning(params):
+    p = {k: v * (30 if k in ("q", "k") else 1) for k, v in params.items()}
+    rng = np.random.default_rng(0)
+    loss, g = a.gradients(p, rng.integers(0, TINY.slots, (3, 8)), rng.integers(0, TINY.slots, (3, 8)), TINY)
+    assert math.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+    none = a.gradients(p, np.zeros((2, 8), int), np.full((2, 8), -1), TINY)
+    assert none[0] == 0 and not any(x.any() for x in none[1].values())
