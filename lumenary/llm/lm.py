@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, partial
@@ -30,7 +29,7 @@ from .attention import END, RARE, Adam, Scorer, Shape, gradients, initial, pack,
 from .common import in_arrow, memory, row_key, stored
 from .tokens import ranked, vocabulary
 
-#: Distinct words that a counting task holds, words that a scoring worker remembers, and words scored at once.
+#: Distinct words that a counting task holds when it passes them on (up to twice as many, and those of a batch), words that a scoring worker remembers, and words scored at once.
 HELD, MEMO, LOT_WORDS = 400_000, 300_000, 200_000
 #: Ids of the words that a scoring worker remembers.
 MEMO_IDS = 4_000_000
@@ -66,11 +65,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
+def listed(words: pa.Array) -> list[bytes]:
+    """What an array of words without blanks has, in a list."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.view(pa.binary())), b" ")[0].as_py().split(b" ")
+
+
 def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of some texts, the numbers of all their words among these, and how many words each text has."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).fill_null(b"").view(pa.string())))
     coded = lists.flatten().dictionary_encode()
-    distinct, codes = coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy()
+    distinct, codes = listed(coded.dictionary), coded.indices.to_numpy()
     n = pc.list_value_length(lists).to_numpy().astype(np.int64)
     if b"" in distinct:  # before, between and behind white space
         real = codes != distinct.index(b"")
@@ -81,18 +87,23 @@ def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and their counts in a part of the table, some words more than once."""
-    held: Counter = Counter()
+    held: list[pa.Table] = []
+    for b in batches:
+        words, codes, _ = words_of(b.column("text"))
+        counts = np.bincount(codes, minlength=len(words))
+        held.append(pa.table({"word": pa.array(words, pa.binary()), "n": pa.array(counts, pa.int64())}).filter(pc.field("n") > 0))
+        if sum(map(len, held)) > 2 * HELD:
+            held = [_summed(held)]
+            if len(held[0]) > HELD:
+                yield from held.pop().to_batches()
+    if held:
+        yield from _summed(held).to_batches()
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array(held.keys(), pa.binary()), "n": pa.array(held.values(), pa.int64())})
 
-    for b in batches:
-        for t in b.column("text").cast(pa.binary()):
-            held.update((t.as_py() or b"").lower().split())
-            if len(held) > HELD:
-                yield out()
-                held.clear()
-    yield out()
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    """One row a word."""
+    out = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return pa.table({"word": out["word"], "n": out["n_sum"]})
 
 
 def spelt(words: list[bytes], of) -> tuple[np.ndarray, np.ndarray]:
@@ -148,42 +159,65 @@ class Slots:
 def windows_of(ids: np.ndarray, shape: Shape) -> np.ndarray:
     """Rows of a window's ids and the one after them, in which each id of a text and the end after it are to be told
     once; before the text and behind its end is PAD."""
-    n = -(-(shape.stride + len(ids) + 1) // shape.window)
-    flat = np.full(n * shape.window + 1, PAD, "<u2")
-    flat[shape.stride + 1 : shape.stride + 1 + len(ids)] = ids
-    flat[shape.stride + 1 + len(ids)] = END
-    return np.lib.stride_tricks.sliding_window_view(flat, shape.window + 1)[:: shape.window]
+    return _windows_of([ids], shape)[0]
 
 
-def _windows(batches: Iterator[pa.RecordBatch], path: str, slots, s: Settings) -> Iterator[pa.RecordBatch]:
-    """The windows of each text, and the round that each is learnt in; the batches have texts, or slots as read before."""
-    slot, size = slots.value.slot, 2 * (s.shape.window + 1)
+def _windows_of(texts: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of some texts, one text's after another's, and how many each has."""
+    lengths = np.array([*map(len, texts)], np.int64)
+    n = -(-(shape.stride + lengths + 1) // shape.window)
+    size = n * shape.window + 1
+    begin = np.cumsum(size) - size
+    flat = np.full(int(size.sum()), PAD, "<u2")
+    for ids, at in zip(texts, (begin + shape.stride + 1).tolist(), strict=True):
+        flat[at : at + len(ids)] = ids
+    flat[begin + shape.stride + 1 + lengths] = END
+    return np.lib.stride_tricks.sliding_window_view(flat, shape.window + 1)[np.repeat(begin, n) + shape.window * _places(n)], n
+
+
+def _places(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each of some counts, one after another."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _rounds(texts: list[bytes], n: np.ndarray, s: Settings) -> np.ndarray:
+    """The round of each window of some texts, dealt by a hash of its text and its place there."""
+    own = np.array([zlib.crc32(t, s.seed) for t in texts], np.uint64)
+    h = np.repeat(own, n) * np.uint64(0x9E3779B97F4A7C15) + (_places(n) + 1).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(32)).astype(np.int64) % s.rounds
 
-    def lot() -> pa.RecordBatch:
-        data = np.concatenate(rows)
-        window = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(data), [None, pa.py_buffer(data.tobytes())])
-        return pa.RecordBatch.from_pydict({"round": pa.array(np.concatenate(rounds), pa.int32()), "window": window.cast(pa.binary())})
 
+def _dealt(batches: Iterator[pa.RecordBatch], path: str, slots, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Lots of windows of texts, and the round that each is learnt in; the batches have texts, or slots as read before."""
+    slot = slots.value.slot
     for b in batches:
-        rows, rounds, n = [], [], 0
         read = "slots" in b.schema.names
-        for t in b.column("slots" if read else "text").cast(pa.binary()):
-            text = t.as_py() or b""
-            rows.append(windows_of(np.frombuffer(text, "<u2") if read else slot[spelt(text.lower().split(), ranked(path))[0]], s.shape))
-            rounds.append(np.random.default_rng([s.seed, zlib.crc32(text)]).integers(s.rounds, size=len(rows[-1])))
-            n += len(rows[-1])
-            if n >= LOT_WINDOWS:
-                yield lot()
-                rows, rounds, n = [], [], 0
-        if n:
-            yield lot()
+        texts = [t.as_py() or b"" for t in b.column("slots" if read else "text").cast(pa.binary())]
+        at = 0
+        while at < len(texts):
+            lot, n = [], 0
+            while at + len(lot) < len(texts) and n < LOT_WINDOWS:
+                text = texts[at + len(lot)]
+                lot.append(np.frombuffer(text, "<u2") if read else slot[spelt(text.lower().split(), ranked(path))[0]])
+                n += (s.shape.stride + len(lot[-1])) // s.shape.window + 1
+            rows, each = _windows_of(lot, s.shape)
+            yield rows, _rounds(texts[at : at + len(lot)], each, s)
+            at += len(lot)
+
+
+def _windows(batches: Iterator[pa.RecordBatch], path: str, slots, s: Settings) -> Iterator[pa.RecordBatch]:
+    """The windows of each text, and the round that each is learnt in."""
+    size = 2 * (s.shape.window + 1)
+    for rows, rounds in _dealt(batches, path, slots, s):
+        window = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(rows), [None, pa.py_buffer(rows.tobytes())])
+        yield pa.RecordBatch.from_pydict({"round": pa.array(rounds, pa.int32()), "window": window.cast(pa.binary())})
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], path: str, slots, s: Settings) -> Iterator[pa.RecordBatch]:
     """The same windows, up to ROW_WINDOWS of a round in a row: rows are then few to store, to read and to deal."""
-    size = 2 * (s.shape.window + 1)
-    for b in _windows(batches, path, slots, s):
-        data, round_ = np.frombuffer(b.column("window").buffers()[2], f"V{size}", len(b)), b.column("round").to_numpy()
+    np.empty(HEAP, np.uint8)
+    for data, round_ in _dealt(batches, path, slots, s):
         rows = [(r, len(x), x.tobytes()) for r in range(s.rounds) for own in (data[round_ == r],) for i in range(0, len(own), ROW_WINDOWS) for x in (own[i : i + ROW_WINDOWS],)]
         rounds, ns, parts = zip(*rows, strict=True)
         yield pa.RecordBatch.from_pydict({"round": pa.array(rounds, pa.int32()), "n": pa.array(ns, pa.int64()), "windows": pa.array(parts, pa.binary())})
@@ -198,17 +232,17 @@ def _learnt(batches: Iterator[pa.RecordBatch], start, s: Settings, round_: int,
     rng = np.random.default_rng(s.seed)
     np.empty(HEAP, np.uint8)
     for b in batches:
-        rows = np.frombuffer(b"".join(b.column("windows").to_pylist()), "<u2").reshape(-1, s.shape.window + 1).astype(np.int64)
+        rows = np.frombuffer(b"".join(b.column("windows").to_pylist()), "<u2").reshape(-1, s.shape.window + 1).astype(np.int32)
+        xs, ys = np.where(rows[:, :-1] == PAD, END, rows[:, :-1]), np.where(rows[:, 1:] == PAD, -1, rows[:, 1:])
         n += len(rows)
         for _ in range(passes):
             order = rng.permutation(len(rows))
             for i in range(0, len(rows), s.batch):
-                lot = rows[order[i : i + s.batch]]
-                x, y = lot[:, :-1], lot[:, 1:]
+                lot = order[i : i + s.batch]
                 at = (round_ + min(1.0, done / (expected * passes))) / s.rounds
                 adam.rate = s.rate * min(1.0, (adam.step + 1) / 40) * min(1.0, (1 - at) / 0.4 + 0.02)
                 done += len(lot)
-                adam.update(p, gradients(p, np.where(x == PAD, END, x), np.where(y == PAD, -1, y), s.shape)[1])
+                adam.update(p, gradients(p, xs[lot], ys[lot], s.shape)[1])
     if n:
         group = TaskContext.get().partitionId() % MEANS
         yield pa.RecordBatch.from_pydict({"grp": pa.array([group], pa.int32()), "n": pa.array([n], pa.int64()), "p": pa.array([pack(p)], pa.binary())})
@@ -304,9 +338,10 @@ class Worker:
         count = self.count[at]
         here, whole = count >= 0, log(m.tokens + 0.5 * (m.distinct + 1))
         base = total(np.where(here, np.log(np.maximum(count, 0) + 0.5) - whole, 0.0)) + log(m.texts + 0.5) - whole
-        each = sizes[codes]
-        begin = np.cumsum(each, dtype=np.int64) - each
-        slots = self.ids[np.repeat(self.first[at][codes] - begin, each) + np.arange(each.sum())]
+        spelt_ = self.ids[np.repeat(self.first[at], sizes) + _places(sizes)].astype("<u2")
+        bounds = np.concatenate(([0], 2 * np.cumsum(sizes))).astype(np.int32)
+        slots = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(spelt_)]).take(pa.array(codes))
+        slots = np.frombuffer(slots.buffers()[2] or b"", "<u2", int(sizes[codes].sum()))
         left = ~here[codes]
         others = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left)))[ends], pa.int32()), pa.array(words, pa.binary()).take(pa.array(codes[left])))
         if len(self.number) > MEMO or self.used > MEMO_IDS:
@@ -332,9 +367,19 @@ def _lots(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def _distinct(lists: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+    """The distinct words of each list, and how often each is in it."""
+    words = lists.flatten().dictionary_encode()
+    of, most = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), max(1, len(words.dictionary))
+    pairs, times = np.unique(of * most + words.indices.to_numpy(), return_counts=True)
+    ends = pa.array(np.searchsorted(pairs, np.arange(len(lists) + 1) * most), pa.int32())
+    return pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(pairs % most))), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))
+
+
 def _read(batches: Iterator[pa.RecordBatch], name: str, data) -> Iterator[pa.RecordBatch]:
     """What ``Worker.read`` has for each text, in columns."""
     worker = memory("lm", name, make=lambda: Worker(data.value))
+    np.empty(HEAP, np.uint8)
     for b in batches:
         texts = [t.as_py() or b"" for t in b.column("text").cast(pa.binary())]
         for at, to in _lots(texts, LOT_WORDS * 6):
@@ -342,8 +387,9 @@ def _read(batches: Iterator[pa.RecordBatch], name: str, data) -> Iterator[pa.Rec
             cols = {c: b.column(c).slice(at, to - at) for c in ("rid", "doc_id", "row_key", "held_out")}
             cols |= {c: pa.array(x[c], pa.int64() if c in ("n_tokens", "known") else pa.float64()) for c in ("n_tokens", "known", "base", "rare")}
             ends = np.concatenate(([0], np.cumsum(2 * x["sizes"]))).astype(np.int32)
-            slots = pa.BinaryArray.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(x["slots"].astype("<u2").tobytes())])
-            yield pa.RecordBatch.from_pydict(cols | {"others": x["others"], "slots": slots})
+            slots = pa.BinaryArray.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(x["slots"])])
+            others, times = _distinct(x["others"])
+            yield pa.RecordBatch.from_pydict(cols | {"others": others, "times": times, "slots": slots})
 
 
 def _scored(batches: Iterator[pa.RecordBatch], name: str, data) -> Iterator[pa.RecordBatch]:
@@ -397,12 +443,12 @@ def scored(docs: DataFrame, s: Settings = Settings(), path: str | None = None) -
     frequent = most_frequent(counts, FREQUENT).toArrow()
     model = Model(None, s.shape, slots, path, frequent["word"].to_pylist(), frequent["n"].to_numpy(), n + texts, distinct + (texts > 0), texts)
     keys = "rid long, doc_id long, row_key long, held_out boolean, n_tokens long, known long, base double"
-    read = stored(in_arrow(cols, partial(_read, name=uuid.uuid4().hex, data=spark.sparkContext.broadcast(model)), f"{keys}, rare double, others array<binary>, slots binary"), "read")
+    read = stored(in_arrow(cols, partial(_read, name=uuid.uuid4().hex, data=spark.sparkContext.broadcast(model)), f"{keys}, rare double, others array<binary>, times array<long>, slots binary"), "read")
     learning = read.filter(~F.col("held_out")).select("slots")
     windows = stored(in_arrow(learning, partial(_window_rows, path=path, slots=sent, s=s), "round int, n long, windows binary"), "windows")
     params = spark.sparkContext.broadcast((learnt(windows, slots.counts, s), s.shape))
-    seen = stored(in_arrow(read.drop("others"), partial(_scored, name=uuid.uuid4().hex, data=params), f"{keys}, score double"), "scored")
-    each = read.select("rid", F.explode("others").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
+    seen = stored(in_arrow(read.drop("others", "times"), partial(_scored, name=uuid.uuid4().hex, data=params), f"{keys}, score double"), "scored")
+    each = read.select("rid", F.explode(F.arrays_zip(F.col("others").alias("word"), "times")).alias("o")).select("rid", "o.word", "o.times")
     c = F.coalesce(F.col("n"), F.lit(0))
     whole = model.tokens + 0.5 * (model.distinct + 1)
     more = each.join(counts, "word", "left").groupBy("rid").agg(

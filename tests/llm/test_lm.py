@@ -248,3 +248,42 @@ def test_large_attention_does_not_overflow_in_learning(params):
     assert math.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
     none = a.gradients(p, np.zeros((2, 8), int), np.full((2, 8), -1), TINY)
     assert none[0] == 0 and not any(x.any() for x in none[1].values())
+
+
+def test_words_left_to_join_are_passed_on_once_a_text():
+    lists = pa.array([[b"b", b"a", b"b"], [], [b"a"], [b"c", b"c", b"c"]], pa.list_(pa.binary())).slice(0, 4)
+    words, times = lm._distinct(lists)
+    assert [dict(zip(w, n, strict=True)) for w, n in zip(words.to_pylist(), times.to_pylist(), strict=True)] == [{b"a": 1, b"b": 2}, {}, {b"a": 1}, {b"c": 3}]
+    assert [len(x) for x in words.to_pylist()] == [2, 0, 1, 1] and lm._distinct(lists.slice(1, 1))[0].to_pylist() == [[]]
+
+
+def test_counting_sums_what_it_holds(monkeypatch):
+    """A task passes on a row a word, not one a batch, until it holds more words than it may."""
+    texts = [None, "", " \x0b", *(" ".join(f"W{j % 9} w{j % 7} é" for j in range(i)) for i in range(40))]
+    want = Counter(w.encode() for t in texts for w in WORDS.findall((t or "").translate(FOLD)))
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 5], pa.string())}) for i in range(0, len(texts), 5)]
+    for most in (400_000, 3):
+        monkeypatch.setattr(lm, "HELD", most)
+        rows, got = 0, Counter()
+        for b in lm._counted(iter(batches)):
+            rows += len(b)
+            for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True):
+                got[w] += n
+        assert got == want and (rows == len(want) or most == 3)
+    assert list(lm._counted(iter([]))) == []
+
+
+def test_steps_run_as_one_graph(params, monkeypatch):
+    """A step's products and sums are one call, in single and double precision alike, whatever the classes."""
+    rng = np.random.default_rng(4)
+    for s in (TINY, a.Shape(slots=2048, dim=8, heads=1, hidden=16, stride=4)):
+        p = params if s is TINY else a.initial(rng.integers(1, 50, s.slots), s)
+        x, y = rng.integers(0, s.slots, (5, 8)), rng.integers(0, s.slots, (5, 8))
+        y[2, 3:] = -1
+        calls, real = [], a._learning
+        with monkeypatch.context() as m:
+            m.setattr(a, "_learning", lambda *z: calls.append(z) or real(*z))  # noqa: B023
+            loss, g = a.gradients(p, x, y, s)
+        exact, want = a.gradients({k: v.astype(float) for k, v in p.items()}, x, y, s)
+        assert len(calls) == 1 and abs(loss - exact) < 1e-4 and g.keys() == want.keys() == p.keys()
+        assert all(g[k].dtype == np.float32 and g[k].shape == p[k].shape and np.allclose(g[k], want[k], atol=1e-5, rtol=1e-3) for k in p)
