@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, partial
+from itertools import repeat
 from math import log
 
 import numpy as np
@@ -325,13 +326,12 @@ class Worker:
         after another, how many each has, and its log share of rare ids."""
         m = self.m
         words, codes, n = words_of(pa.array(texts, pa.binary()))
-        at = list(map(self.number.get, words))
-        if new := [w for w, k in zip(words, at, strict=True) if k is None and w]:
-            first = len(self.number)
-            self.learn(new)
-            places = iter(range(first, first + len(new)))
-            at = [next(places) if k is None and w else k or 0 for w, k in zip(words, at, strict=True)]  # no word is empty
-        at = np.array([k or 0 for k in at] if None in at else at, np.int64)
+        at = np.array([*map(self.number.get, words, repeat(-1))], np.int64)
+        if len(missing := np.flatnonzero(at < 0)):
+            new = [(k, w) for k in missing.tolist() if (w := words[k])]  # no word is empty
+            at[missing] = 0
+            at[[k for k, _ in new]] = np.arange(len(self.number), len(self.number) + len(new))
+            self.learn([w for _, w in new])
         # From here on by distinct word, and by word where sums are.
         sizes, ends = self.size[at], np.concatenate(([0], np.cumsum(n)))
         total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x[codes])))[ends])
