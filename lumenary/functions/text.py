@@ -1,18 +1,19 @@
 """Text analysis: from a text to its terms.
 
 Splitting, the length limit, lower case and stop words are built-in expressions; folding, stemming and the splitters by
-segments of scripts run as an Arrow-batched function. ``terms`` gives the same on a Python string, for queries.
+segments of scripts run as an Arrow-batched function, which holds the strings of few texts at a time. ``terms`` gives the
+same on a Python string, for queries.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stem import stem
@@ -22,6 +23,8 @@ TOKENIZERS = ("word_v0", "word_v1", "word_v2", "word_v3", "word_v4", "whitespace
 # The 33 English stop words in common use since Lucene's first analyzers.
 ENGLISH_STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 SEPARATOR = "\u001f"
+#: Terms that an analysing function holds as Python strings; a text of more is held alone.
+HELD_TERMS = 50_000
 _WORD = r"[\p{IsAlphabetic}\p{N}]+"
 _PY = {
     "word": regex.compile(r"[\p{Alphabetic}\p{N}]+"),
@@ -72,10 +75,15 @@ class Analyzer:
     def _stop(self) -> tuple[str, ...]:
         return (self.stopwords or ENGLISH_STOP_WORDS) if self.remove_stopwords else ()
 
+    @property
+    def _plain_split(self) -> bool:
+        """Whether column expressions alone split a text."""
+        return self.tokenizer in ("word_v0", "word_v1", "whitespace", "pre_tokenized_array")
+
     @property
     def built_in(self) -> bool:
         """Whether column expressions alone give the terms."""
-        return self.tokenizer in ("word_v0", "word_v1", "whitespace", "pre_tokenized_array") and not (self.ascii_folding or self.stemming)
+        return self._plain_split and not (self.ascii_folding or self.stemming)
 
     def spans(self, text: str) -> list[tuple[int, int, str | None]]:
         """Start, end and term of each token of a string; None for one that is too long or a stop word."""
@@ -123,20 +131,29 @@ class Analyzer:
             return F.coalesce(self._split(text), F.array().cast("array<string>"))
         own = self
 
-        @F.pandas_udf("array<string>")
-        def analysed(v: pd.Series) -> pd.Series:
-            return v.map(lambda x: own.terms(x, stemmed))
+        @F.arrow_udf("array<string>")
+        def analysed(v: pa.Array) -> pa.Array:
+            return listed(v, lambda x: own.terms(x.as_py(), stemmed))
 
         return analysed(text)
 
-    def _split(self, text: Column) -> Column:
+    def counts(self, df: DataFrame, text: Column) -> DataFrame:
+        """term, n: how often each term is in the texts. Words are counted as they are split, before they are folded and
+        stemmed, so that Python sees each of them once and no text."""
+        if self.built_in or not self._plain_split:
+            return df.select(F.explode(self.column(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        words = df.select(F.explode(self._raw(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        return words.select("n", F.explode(self.column(F.col("word"))).alias("term")).groupBy("term").agg(F.sum("n").alias("n"))
+
+    def _raw(self, text: Column) -> Column:
         if self.tokenizer == "whitespace":
-            raw = F.filter(F.split(text, r"\p{IsWhite_Space}+"), lambda x: x != "")
-        elif self.tokenizer == "pre_tokenized_array":
-            raw = F.filter(F.split(text, SEPARATOR), lambda x: x != "")
-        else:
-            raw = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
-        return self._kept(raw)
+            return F.filter(F.split(text, r"\p{IsWhite_Space}+"), lambda x: x != "")
+        if self.tokenizer == "pre_tokenized_array":
+            return F.filter(F.split(text, SEPARATOR), lambda x: x != "")
+        return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+
+    def _split(self, text: Column) -> Column:
+        return self._kept(self._raw(text))
 
     def _kept(self, raw: Column) -> Column:
         if self.max_token_length is not None:
@@ -148,6 +165,19 @@ class Analyzer:
         return raw
 
 
+def listed(values: Iterable, terms: Callable[[object], list[str]]) -> pa.Array:
+    """The terms of each value as an Arrow array, of which no more than HELD_TERMS are Python strings at a time."""
+    kind = pa.list_(pa.string())
+    done, held, n = [], [], 0
+    for x in values:
+        held.append(terms(x))
+        n += len(held[-1])
+        if n >= HELD_TERMS:
+            done.append(pa.array(held, kind))
+            held, n = [], 0
+    return pa.concat_arrays([*done, pa.array(held, kind)])
+
+
 def trigrams(c: Column) -> Column:
     """The distinct trigrams of characters, case folded."""
     low = F.lower(c)

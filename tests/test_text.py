@@ -1,8 +1,12 @@
 """Analysis of texts."""
 
+from collections import Counter
+
 import regex
 import pytest
+from pyspark.sql import functions as F
 
+from lumenary.functions import text
 from lumenary.functions.stem import stem
 from lumenary.functions.text import ENGLISH_STOP_WORDS, Analyzer, trigrams
 from lumenary.functions.values import RequestError
@@ -58,3 +62,36 @@ def test_word_classes_agree_with_unicode(spark):
     want = Analyzer(case_sensitive=True).terms(chars)
     both = set("".join(got)) ^ set("".join(want))
     assert len(both) < 0.02 * len(set("".join(want)))  # the two Unicode versions differ in a few letters
+
+
+@pytest.mark.parametrize("own", [Analyzer(), Analyzer(stemming=True, ascii_folding=True, remove_stopwords=True), Analyzer(tokenizer="whitespace", stemming=True), Analyzer(tokenizer="word_v2"), Analyzer(max_token_length=4, ascii_folding=True)])
+def test_counts_of_terms(spark, own):
+    texts = [*TEXTS, "Dogs and dogs' École écoles", "the running DOG ran, dogs run"]
+    got = own.counts(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t"))
+    assert {r.term: r.n for r in got.collect()} == Counter(t for x in texts for t in own.terms(x))
+
+
+def test_stems_are_of_distinct_words_not_of_texts(spark):
+    from lumenary.plans.catalogue import QUERIES
+
+    plan = QUERIES["terms_stemmed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("EvalPython") :]
+    assert "Aggregate [word" in below and plan.count("EvalPython") == 1
+
+
+def test_few_terms_are_held_at_a_time(monkeypatch):
+    class Held(list):
+        now = most = 0
+
+        def __init__(self, n):
+            super().__init__(["x"] * n)
+            Held.now += n
+            Held.most = max(Held.most, Held.now)
+
+        def __del__(self):
+            Held.now -= len(self)
+
+    monkeypatch.setattr(text, "HELD_TERMS", 100)
+    out = text.listed([30] * 50 + [0, 250], Held)
+    assert [len(x) for x in out] == [30] * 50 + [0, 250] and Held.most <= 350
+    assert text.listed([], Held).to_pylist() == []
