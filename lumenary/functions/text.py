@@ -165,6 +165,21 @@ class Analyzer:
         return raw
 
 
+def counted(terms: Column) -> Column:
+    """The distinct terms of an array in their order, as (term, tf), where tf is how often a term is there."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda x, i: F.when(~x.eqNullSafe(F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        return bound(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).alias("tf"))))
+
+    return bound(F.sort_array(terms), runs)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def listed(values: Iterable, terms: Callable[[object], list[str]]) -> pa.Array:
     """The terms of each value as an Arrow array, of which no more than HELD_TERMS are Python strings at a time."""
     kind = pa.list_(pa.string())

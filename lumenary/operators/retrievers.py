@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.text import Analyzer
+from ..functions.text import Analyzer, counted
 from ..functions.values import RequestError, unused
 
 #: Below so many rows a search is exact, without clusters.
@@ -158,13 +158,15 @@ class Postings:
         self.spark, self.path, self.buckets, self._known = spark, path, buckets, None
 
     def build(self, df: DataFrame, text: str, analyzer: Analyzer = Analyzer(), id_column: str = "id") -> None:
-        """A frequent term's postings spread over salted tasks, since rows are dealt by term and id."""
+        """Terms are counted in their row, so that only postings are shuffled, once and unsorted. They are dealt by bucket
+        and salt, and adaptive execution splits what is large and joins what is small, so that a task sorts a bounded
+        part of a bucket however large the table or frequent a term is."""
         tokens = analyzer.column(F.col(f"`{text}`"), df.schema[text].dataType.typeName() == "array")
         rows = df.select(F.col(f"`{id_column}`").alias("id"), tokens.alias("t")).withColumn("length", F.size("t"))
-        each = rows.select("id", "length", F.explode("t").alias("term")).groupBy("id", "term", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        each = rows.select("id", "length", F.explode(counted(F.col("t"))).alias("x")).select("id", "x.term", "length", "x.tf")
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
-        salt = F.pmod(F.xxhash64("id"), F.lit(8))
-        each.withColumn("bucket", bucket).repartition("bucket", salt).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        dealt = each.withColumns({"bucket": bucket, "salt": F.pmod(F.xxhash64("id"), F.lit(8))}).hint("rebalance", "bucket", "salt").drop("salt")
+        dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         self._known = None
         id_type = F.lit(df.schema[id_column].dataType.simpleString()).alias("id_type")
         rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).select("*", id_type).write.mode("overwrite").parquet(f"{self.path}/totals")
@@ -202,7 +204,7 @@ class Postings:
         for i, (term, times) in enumerate(terms.items()):
             weight = 1.0 if analyzer.k3 is None else (analyzer.k3 + 1) * times / (analyzer.k3 + times)
             part = F.lit(stats.idf(term) * weight) * tf * F.lit(analyzer.k1 + 1) / (tf + F.lit(analyzer.k1) * (F.lit(1 - analyzer.b) + F.lit(analyzer.b) * length))
-            parts.append(F.max(F.when(F.col("term") == term, part)).alias(f"p{i}"))  # of one row
+            parts.append(F.sum(F.when(F.col("term") == term, part)).alias(f"p{i}"))  # of one row where ids are unique
         total = reduce(lambda a, b: a + b, [F.coalesce(f"p{i}", F.lit(0.0)) for i in range(len(parts))])
         return own.groupBy("id").agg(*parts).select("id", total.alias("score"))
 
