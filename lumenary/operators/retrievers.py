@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.text import Analyzer, counted
+from ..functions.text import Analyzer, bound, counted
 from ..functions.values import RequestError, unused
 
 #: Below so many rows a search is exact, without clusters.
@@ -72,10 +72,14 @@ def sparse(df: DataFrame, weights: str, query: Mapping[str, float]) -> DataFrame
     """The products of the weights of shared keys, for every row that shares a key, whatever the sign."""
     if not query or any(not math.isfinite(w) or abs(w) > LARGEST_WEIGHT for w in query.values()):
         raise RequestError(f"a sparse vector has keys with finite weights up to {LARGEST_WEIGHT}")
-    own = [(F.try_element_at(F.col(weights), F.lit(k)), w) for k, w in query.items()]
-    shared = reduce(lambda a, b: a | b, [v.isNotNull() for v, _ in own])
-    total = reduce(lambda a, b: a + b, [F.coalesce(v.cast("double") * F.lit(float(w)), F.lit(0.0)) for v, w in own])
-    return df.filter(shared).withColumn("score", total)
+
+    def product(m: Column) -> Column:
+        own = [(F.try_element_at(m, F.lit(k)), w) for k, w in query.items()]
+        shared = reduce(lambda a, b: a | b, [v.isNotNull() for v, _ in own])
+        return F.when(shared, reduce(lambda a, b: a + b, [F.coalesce(v.cast("double") * F.lit(float(w)), F.lit(0.0)) for v, w in own]))
+
+    # Bound, so that weights that are computed are computed once however many keys look at them.
+    return df.withColumn("score", bound(F.col(weights), product)).filter(F.col("score").isNotNull())
 
 
 # Text
